@@ -1,10 +1,10 @@
 """All registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import queries_terms
+from . import queries_rates, queries_terms
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (queries_terms,):
+for _m in (queries_terms, queries_rates):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

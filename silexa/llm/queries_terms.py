@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for src, df, key, words, order in _sources(spark, d):
         scored = terms.distinctive_terms(df, key, words, order)
-        bound = F.col("tf") * F.log(F.col("n") / F.col("df")) / F.log(F.col("n")) >= 2.5
+        bound = F.col("tf") * F.log(F.col("n") / F.col("df")) / F.nullif(F.log(F.col("n")), F.lit(0.0)) >= 2.5
         parts.append(scored.filter((F.col("score") >= 0.5) & bound).select(F.lit(src).alias("src"), F.col("rec").alias("rec_id"), "term"))
     return parts[0].unionByName(parts[1])
 
@@ -42,10 +42,10 @@ def p5_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 _CLEAN = """
 WITH latest AS (
-  SELECT 'raw' AS src, rec_id, list_filter(list_transform(words, x -> lower(trim(x))), x -> x <> '') AS w
+  SELECT 'raw' AS src, rec_id, list_filter(list_transform(words, lambda x: lower(trim(x))), lambda x: x <> '') AS w
   FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) AS rn FROM raw_docs) WHERE rn = 1
   UNION ALL
-  SELECT 'idx', rec_id, list_transform(list_filter(words, x -> x >= 0), x -> CAST(x AS VARCHAR))
+  SELECT 'idx', rec_id, list_transform(list_filter(words, lambda x: x >= 0), lambda x: CAST(x AS VARCHAR))
   FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) AS rn FROM docs) WHERE rn = 1),
 n AS (SELECT src, count(*) AS n FROM latest WHERE len(w) > 0 GROUP BY src),
 tf AS (SELECT src, rec_id, term, count(*) AS tf FROM (SELECT src, rec_id, unnest(w) AS term FROM latest) GROUP BY ALL),
