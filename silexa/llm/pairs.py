@@ -102,8 +102,8 @@ def items_together(df: DataFrame, basket: str, item: str, min_count: int = 8, mi
 
     Exact shortcuts keep the work bounded: an item of fewer than `min_count` baskets, or (as together <= n_a) of more
     than n_baskets / `min_lift`, can't be in a pair; and any pair has a basket outside the `min_count` - 1 largest,
-    so those emit no pairs: each item keeps a bit for each of them and the common bits are added to the pair's
-    count. Larger baskets are cut into blocks handled by different tasks; items of more than a thousandth of all rows
+    so those of them that alone hold over a hundredth of all pairs emit none: each item keeps a bit for each of them and
+    the common bits are added to the pair's count. Larger baskets are cut into blocks handled by different tasks; items of more than a thousandth of all rows
     have their stripe split in parts.
 
     Items are integers from 0 to 2**31 - 1. Rows with a null basket or item are left out, repeated rows count once,
@@ -118,7 +118,10 @@ def items_together(df: DataFrame, basket: str, item: str, min_count: int = 8, mi
     counts = rows.groupBy("i").agg(F.count("*").alias("na")).filter((F.col("na") >= min_count) & (F.col("na") <= n_baskets / min_lift))
     fit = staged(rows.join(counts, "i"), "together-fit")
     # never more than `spare` baskets and a thousand items
-    largest = [r[0] for r in fit.groupBy("u").count().filter(F.col("count") > 64).orderBy(F.desc("count"), "u").limit(min(spare, 62)).select("u").collect()]
+    sizes = fit.groupBy("u").agg(F.count("*").alias("s"))
+    squares = sizes.agg(F.sum(F.col("s").cast("double") ** 2)).first()[0] or 0.0
+    # a basket is worth leaving out if it alone gives more than a hundredth of all pairs
+    largest = [r[0] for r in sizes.filter(F.col("s").cast("double") ** 2 > squares / 100).orderBy(F.desc("s"), "u").limit(min(spare, 62)).select("u").collect()]
     heavy = np.array([r[0] for r in counts.filter(F.col("na") > max(1000, n_rows // 1000)).select("i").collect()], np.int64)
     bit = F.lit(0).cast("long")
     for k, u in enumerate(largest):
