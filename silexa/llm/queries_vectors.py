@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .clusters import Measure, isolated, similarity_clusters
 from .neighbours import most_similar
+from .vectors import canonical
 
 SIDES = {"fs": ("labeled_points", "point_id", "fs_idx", "fs_val"), "u_fs": ("svd_feature_points", "user_key", "u_fs_idx", "u_fs_val"), "i_fs": ("svd_feature_points", "item_key", "i_fs_idx", "i_fs_val")}
 
@@ -27,5 +29,54 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("side", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+#: Any two flowers of a group lie at most 1.0 apart, all others more than 1.1; points by cosine.
+FLOWERS = Measure("euclid", strict=1.0, loose=1.1, jaccard=0.4)
+POINTS = Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3)
+#: Side of a cell and cells on each side of a flower: its token set is the square of 16 x 16 cells around it.
+CELL, REACH = 0.25, 8
+
+
+def _flowers(spark: SparkSession, d: str) -> DataFrame:
+    """(key, bed, x, y) of flowers with both lengths; resends count once."""
+    t = table(spark, d, "iris_wheader").filter(F.col("flower_id").isNotNull() & F.col("bed_id").isNotNull())
+    t = t.groupBy("flower_id").agg(F.max_by(F.struct("bed_id", "sepal_len", "petal_len"), F.struct("loaded_at", F.xxhash64("sepal_len", "petal_len"))).alias("r"))
+    t = t.select(F.col("flower_id").alias("key"), F.col("r.bed_id").alias("bed"), F.col("r.sepal_len").alias("x"), F.col("r.petal_len").alias("y"))
+    return t.filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"))
+
+
+def _flower_records(flowers: DataFrame) -> DataFrame:
+    cell = lambda c: F.round(F.col(c) / CELL).cast("long")
+    span = lambda c: F.sequence(cell(c) - REACH, cell(c) + REACH - 1)
+    tokens = F.flatten(F.transform(span("x"), lambda i: F.transform(span("y"), lambda j: F.xxhash64(F.col("bed"), i, j))))
+    return flowers.select(
+        "key", F.xxhash64("bed", "x", "y").alias("cls"), F.array_sort(tokens).alias("tokens"),
+        F.array(F.lit(0), F.lit(1)).cast("array<bigint>").alias("idx"), F.array("x", "y").alias("val"),
+    )
+
+
+def _point_records(spark: SparkSession, d: str) -> DataFrame:
+    v = canonical(table(spark, d, "labeled_points"), "point_id", "fs_idx", "fs_val")
+    return v.select("key", "cls", F.col("idx").alias("tokens"), "idx", "val")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of isolated groups of at least five mutually similar records."""
+    flowers = _flowers(spark, d)
+    members, groups = similarity_clusters(_flower_records(flowers), FLOWERS)
+    placed = flowers.join(members, "key").select("key", "cluster", F.col("bed").alias("space"), "x", "y")
+    groups = groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster")
+    iris = isolated(placed.join(groups, "cluster"), placed, FLOWERS.loose).select(F.lit("iris").alias("src"), "key", "cluster")
+    members, groups = similarity_clusters(_point_records(spark, d), POINTS)
+    points = members.join(groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster"), "cluster").select(F.lit("points").alias("src"), "key", "cluster")
+    return iris.union(points).select("src", F.col("key").alias("member_id"), F.col("cluster").alias("cluster_id"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every group's size and most typical members."""
+    parts = [("iris", similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS)), ("points", similarity_clusters(_point_records(spark, d), POINTS))]
+    out = [g.select(F.lit(src).alias("src"), F.col("cluster").alias("cluster_id"), "size", "whole", "typical") for src, (_, g) in parts]
+    return out[0].union(out[1])
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_groups": p7_groups}
 SQL: dict[str, str] = {}
