@@ -105,8 +105,14 @@ class CART:
 
     @staticmethod
     def _binned(df: DataFrame, features: list[str], points: list[list[float]]) -> DataFrame:
-        x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
-        at = F.array(*[F.size(F.filter(F.array(*map(F.lit, p)) if p else F.array().cast("array<double>"), lambda t, v=F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)): t <= v)) for c, p in zip(features, points)])
+        """Rows with their feature values `__x` (null and NaN as 0) and bins `__b`."""
+        x = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
+
+        def bin_of(v: Column, p: list[float]) -> Column:
+            return F.size(F.filter(F.array(*map(F.lit, p)), lambda t: t <= v)) if p else F.lit(0)
+
+        at = F.array(*[bin_of(v, p) for v, p in zip(x, points)])
+        x = F.array(*x)
         return df.withColumn("__x", x).withColumn("__b", at)
 
     @staticmethod

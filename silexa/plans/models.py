@@ -31,10 +31,10 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Long features and flags of lineitem: quantity / 50, discount, tax."""
-    t = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 50).alias("q"), "l_discount", "l_tax", "l_returnflag")
-    f = t.select("id", F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("fid"), F.col(c).alias("v")) for i, c in enumerate(("q", "l_discount", "l_tax"))])))
-    return f, t.select("id", F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0).alias("y"))
+    """Long features and statuses of orders: price, month, customer group."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("q"), (F.month("o_orderdate") / 12).alias("m"), (F.col("o_custkey") % 10 / 10).alias("k"), "o_orderstatus")
+    f = t.select("id", F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("fid"), F.col(c).alias("v")) for i, c in enumerate(("q", "m", "k"))])))
+    return f, t.select("id", F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0).alias("y"))
 
 
 def ml_pca(spark, d):
@@ -196,7 +196,7 @@ def matrix_normalize(spark, d):
     return _r(vec.normalize_rows(c), 8)
 
 
-_L = "WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity / 50 AS q, l_discount AS di, l_tax AS ta, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem)"
+_L = "WITH t AS (SELECT o_orderkey AS id, o_totalprice / 500000 AS q, month(o_orderdate) / 12 AS di, (o_custkey % 10) / 10 AS ta, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y FROM orders)"
 
 
 def _softmax_sql() -> str:
