@@ -162,6 +162,8 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
     passes. Null texts and items, and items of fewer words than `min_words`, match nothing; repeated rows repeat
     no result; other columns are ignored; empty tables give an empty result.
     """
+    if 2 * min_words - 1 < Q:
+        raise ValueError(f"min_words must be at least {(Q + 2) // 2}, so that a passage holds a q-gram")
     wanted = items.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).distinct()
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = max(1, -(-chars // ITEM_CHARS))

@@ -15,9 +15,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("exact").select("doc_id", "item_id")
 
 
-def p9_near_passages(spark: SparkSession, d: str) -> DataFrame:
-    """All passages within the edit budget, also those with changed words."""
-    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 12)
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation items that leaked, with the number of posts that hold them."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("posts"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,5 +25,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"), "doc_id", "text", "source", "author").select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_near_passages": p9_near_passages, "p10_found": p10_found}
+QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items, "p10_found": p10_found}
 SQL: dict[str, str] = {}

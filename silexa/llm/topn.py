@@ -59,60 +59,56 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, bool]], n: int, dist
     names = [c for c, _ in order]
     if distinct:
         df = df.dropDuplicates([group, *names])
-    words = [f"__w{i}" for i in range(len(order))]
-    base = df.filter(F.col(group).isNotNull()).withColumns({w: _word(df, c, d) for w, (c, d) in zip(words, order)})
-    base = staged(base, "topn")
-    hot = hot_keys(base, group)
-    salt = F.when(F.col(group).isin(hot), F.pmod(F.xxhash64(*words), F.lit(_SALT))).otherwise(0).cast("int") if hot else F.lit(0)
-    open_ = base.withColumn("__salt", salt)
+    words = [f"w{i}" for i in range(len(order))]
+    # the caller's columns travel as one struct, so that none can clash with ours
+    base = df.select(F.col(group).alias("g"), F.struct(*[F.col(c) for c in df.columns]).alias("row"), *[_word(df, c, d).alias(w) for w, (c, d) in zip(words, order)])
+    base = staged(base.filter(F.col("g").isNotNull()), "topn")
+    hot = hot_keys(base, "g")
+    salt = F.when(F.col("g").isin(hot), F.pmod(F.xxhash64(*words), F.lit(_SALT))).otherwise(0).cast("int") if hot else F.lit(0)
     # the first interval is the same for all groups
-    first = open_.agg(F.min(words[0]).alias("__lo"), F.max(words[0]).alias("__hi"), F.lit(n).cast("long").alias("__k"))
-    open_ = open_.crossJoin(F.broadcast(first))  # one row
-    taken, keep = [], [*df.columns]
+    first = base.agg(F.min(words[0]).alias("lo"), F.max(words[0]).alias("hi"), F.lit(n).cast("long").alias("k"))
+    open_ = base.withColumn("salt", salt).crossJoin(F.broadcast(first))  # one row
+    taken = []
     for i, w in enumerate(words):
         after = words[i + 1] if i + 1 < len(words) else w
         tied = []
         while True:
-            done = staged(_pass(open_, group, w, after, hot), f"topn-{i}")
-            state = {r[0] for r in done.select("__st").distinct().collect()}  # at most three values
+            done = staged(_pass(open_, w, after, hot), f"topn-{i}")
+            state = {r[0] for r in done.select("st").distinct().collect()}  # at most three values
             if _TAKEN in state:
-                taken.append(done.filter(F.col("__st") == _TAKEN).select(*keep))
+                taken.append(done.filter(F.col("st") == _TAKEN).select("row.*"))
             if _TIED in state:
-                rows = done.filter(F.col("__st") == _TIED).drop("__st", "__elo", "__ehi")
-                tied.append(rows.withColumnsRenamed({"__tlo": "__lo", "__thi": "__hi"}))
+                tied.append(done.filter(F.col("st") == _TIED).drop("st", "elo", "ehi").withColumnsRenamed({"tlo": "lo", "thi": "hi"}))
             if _OPEN not in state:
                 break
-            rows = done.filter(F.col("__st") == _OPEN).drop("__st", "__tlo", "__thi")
-            open_ = rows.withColumnsRenamed({"__elo": "__lo", "__ehi": "__hi"})
+            open_ = done.filter(F.col("st") == _OPEN).drop("st", "tlo", "thi").withColumnsRenamed({"elo": "lo", "ehi": "hi"})
         if not tied:
             break
         open_ = reduce(DataFrame.unionByName, tied)
         if i + 1 == len(words):  # equal in every word: only where the caller's promise fails, or nulls and extreme values meet
-            rank = F.row_number().over(Window.partitionBy(group).orderBy(*[F.col(c) for c in names]))
-            taken.append(open_.withColumn("__r", rank).filter(F.col("__r") <= F.col("__k")).select(*keep))
+            rank = F.row_number().over(Window.partitionBy("g").orderBy(*[F.col("row")[c] for c in names]))
+            taken.append(open_.withColumn("r", rank).filter(F.col("r") <= F.col("k")).select("row.*"))
     return reduce(DataFrame.unionByName, taken) if taken else df.limit(0)
 
 
-def _pass(rows: DataFrame, group: str, w: str, after: str, hot: list) -> DataFrame:
+def _pass(rows: DataFrame, w: str, after: str, hot: list) -> DataFrame:
     """One refinement of every open group: the rows taken, still open, or tied on this word, with their interval."""
-    rows = rows.withColumn("__b", _bucket(w, "__lo", "__hi"))
-    hist = rows.groupBy(group, "__b").agg(
-        F.count("*").alias("c"), F.max("__k").alias("k"), F.min(w).alias("lo"), F.max(w).alias("hi"), F.min(after).alias("nlo"), F.max(after).alias("nhi")
+    rows = rows.withColumn("b", _bucket(w, "lo", "hi"))
+    hist = rows.groupBy("g", "b").agg(
+        F.count("*").alias("c"), F.max("k").alias("k"), F.min(w).alias("lo"), F.max(w).alias("hi"), F.min(after).alias("nlo"), F.max(after).alias("nhi")
     )
     # at most _WAYS rows a group
-    above = F.sum("c").over(Window.partitionBy(group).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = Window.partitionBy(group).orderBy("__b")
-    hist = hist.withColumn("cum", above).withColumn("lowest", F.row_number().over(last) == 1)
+    above = F.sum("c").over(Window.partitionBy("g").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hist = hist.withColumn("cum", above).withColumn("lowest", F.row_number().over(Window.partitionBy("g").orderBy("b")) == 1)
     # the part that holds the cutoff; a group with too few rows takes its lowest part whole
     edge = hist.filter(((F.col("cum") - F.col("c")) < F.col("k")) & ((F.col("cum") >= F.col("k")) | F.col("lowest")))
-    whole = F.col("cum") <= F.col("k")
     edge = edge.select(
-        F.col(group).alias("__g"), F.col("__b").alias("__eb"), whole.alias("__whole"), (F.col("k") - (F.col("cum") - F.col("c"))).alias("__nk"),
-        (F.col("lo") == F.col("hi")).alias("__tie"), F.col("lo").alias("__elo"), F.col("hi").alias("__ehi"), F.col("nlo").alias("__tlo"), F.col("nhi").alias("__thi"),
+        F.col("g").alias("eg"), F.col("b").alias("eb"), (F.col("cum") <= F.col("k")).alias("whole"), (F.col("k") - (F.col("cum") - F.col("c"))).alias("nk"),
+        (F.col("lo") == F.col("hi")).alias("tie"), F.col("lo").alias("elo"), F.col("hi").alias("ehi"), F.col("nlo").alias("tlo"), F.col("nhi").alias("thi"),
     )
-    salts = F.explode(F.when(F.col("__g").isin(hot), F.sequence(F.lit(0), F.lit(_SALT - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
-    edge = edge.withColumn("__s", salts)
-    on = (F.col(group) == F.col("__g")) & (F.col("__salt") == F.col("__s")) & (F.col("__b") >= F.col("__eb"))
-    state = F.when((F.col("__b") > F.col("__eb")) | F.col("__whole"), _TAKEN).when(F.col("__tie"), _TIED).otherwise(_OPEN)
-    keep = [c for c in rows.columns if c not in ("__lo", "__hi", "__k", "__b")]
-    return rows.join(edge, on).select(*keep, "__elo", "__ehi", "__tlo", "__thi", F.col("__nk").alias("__k"), state.alias("__st"))
+    salts = F.explode(F.when(F.col("eg").isin(hot), F.sequence(F.lit(0), F.lit(_SALT - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    edge = edge.withColumn("s", salts)
+    on = (F.col("g") == F.col("eg")) & (F.col("salt") == F.col("s")) & (F.col("b") >= F.col("eb"))
+    state = F.when((F.col("b") > F.col("eb")) | F.col("whole"), _TAKEN).when(F.col("tie"), _TIED).otherwise(_OPEN)
+    keep = [c for c in rows.columns if c not in ("lo", "hi", "k", "b")]
+    return rows.join(edge, on).select(*keep, "elo", "ehi", "tlo", "thi", F.col("nk").alias("k"), state.alias("st"))
