@@ -18,8 +18,7 @@ def _word(df: DataFrame, name: str, descending: bool) -> Column:
     kind, col = df.schema[name].dataType, F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         x = F.greatest(F.least(col.cast("double"), F.lit(_BIG)), F.lit(-_BIG))
-        x = x if descending else -x
-        return F.coalesce(F.nanvl(x, F.lit(-_BIG)), F.lit(-_BIG))
+        return F.when(col.isNull() | F.isnan(col), F.lit(-_BIG)).otherwise(x if descending else -x)
     if isinstance(kind, T.TimestampType):
         x = F.unix_micros(col)
     elif isinstance(kind, T.TimestampNTZType):
