@@ -1,6 +1,7 @@
 """Projection, reshaping, splitting and the SQL script operator."""
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,7 +62,8 @@ def split_statements(script: str) -> list[str]:
             start = i + 1
         i += 1
     out.append(script[start:])
-    return [s.strip() for s in out if s.strip()]
+    bare = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
+    return [s.strip() for s in out if bare.sub("", s).strip()]
 
 
 def transpose(df: DataFrame, index: str, columns: list[str]) -> DataFrame:
