@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The metrics of the vector summary, in report order.
@@ -108,27 +108,56 @@ def statistics_report(df: DataFrame, columns: list[str], metrics: list[str] | No
     return summary(df, columns, metrics).join(density, "column", "left")
 
 
+def ranked_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x, count, cum, n): every distinct value with its count and the running count up to it.
+
+    Rows are combined to distinct values before any shuffle; running counts go over 64 ranges of values in parallel, each
+    starting from the counts of the ranges below it, so that no task holds or orders all values of a column.
+    """
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _num(c).alias("x")) for c in columns]))).filter(F.col("x").isNotNull())
+    counts = values.groupBy("column", "x").agg(F.count("*").alias("count"))
+    cuts = counts.groupBy("column").agg(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(10_000)).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "column")  # a row per column
+    counts = counts.withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    below = Window.partitionBy("column").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("column", "r").agg(F.sum("count").alias("s"))
+    sums = sums.select("column", "r", F.coalesce(F.sum("s").over(below), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy("column")).alias("n"))
+    inside = Window.partitionBy("column", "r").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.join(F.broadcast(sums), ["column", "r"]).select("column", "x", "count", (F.sum("count").over(inside) + F.col("base")).alias("cum"), "n")
+
+
 def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("mode", "median", "mean"), quantiles: list[float] = (0.25, 0.5, 0.75, 1.0), accuracy: int | None = None) -> DataFrame:
     """(metric, one column each): mode (ties: the least value), median, any built-in aggregate, and `quantile-p` rows.
 
-    Quantiles are exact nearest-rank values (`percentile_disc`); with `accuracy` they are approximate with a relative error of 1 / accuracy,
-    which keeps memory bounded at any size.
+    Mode, median and the nearest-rank quantiles are exact, from one table of value counts; with `accuracy` quantiles are
+    approximate with a relative error of 1 / accuracy, from the one aggregate that gives the other metrics.
     """
-    known = {"mode": lambda x: F.mode(x, True), "median": F.median, "mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "stddev": F.stddev_samp, "variance": F.var_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
-    aggs: list[Column] = []
-    names: list[str] = []
+    known = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "stddev": F.stddev_samp, "variance": F.var_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
     for m in metrics:
-        if m not in known:
+        if m not in known and m not in ("mode", "median"):
             raise ValueError(f"unknown aggregate {m!r}")
-        names.append(m)
-        aggs += [known[m](_num(c)).cast("double").alias(f"{m}__{c}") for c in columns]
+    direct: dict[str, list[Column]] = {m: [known[m](_num(c)) for c in columns] for m in metrics if m in known}
+    ranked: dict[str, Column] = {}
+    rank = lambda r: (F.col("cum") - F.col("count") < r) & (F.col("cum") >= r)
+    if "mode" in metrics:
+        ranked["mode"] = F.max_by("x", F.struct("count", -F.col("x")))
+    if "median" in metrics:
+        lo, hi = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+        ranked["median"] = (F.max(F.when(rank(lo), F.col("x"))) + F.max(F.when(rank(hi), F.col("x")))) / 2
     for p in quantiles:
-        names.append(f"quantile-{p}")
-        for c in columns:
-            q = F.percentile_approx(_num(c), F.lit(p), F.lit(accuracy)) if accuracy else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))")
-            aggs.append(q.cast("double").alias(f"quantile-{p}__{c}"))
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), *[F.col(f"`{n}__{c}`").alias(c) for c in columns]) for n in names])))
+        if accuracy:
+            direct[f"quantile-{p}"] = [F.percentile_approx(_num(c), F.lit(p), F.lit(accuracy)) for c in columns]
+        else:
+            ranked[f"quantile-{p}"] = F.max(F.when(rank(F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1))), F.col("x")))
+    parts = []
+    if direct:
+        row = df.agg(*[e.cast("double").alias(f"{m}__{c}") for m, es in direct.items() for c, e in zip(columns, es)])
+        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"`{m}__{c}`").alias(c) for c in columns]) for m in direct]))))
+    if ranked:
+        per = ranked_values(df, columns).groupBy("column").agg(*[e.alias(m) for m, e in ranked.items()])
+        long = per.select("column", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("v")) for m in ranked])))
+        parts.append(long.groupBy("metric").pivot("column", columns).agg(F.first("v")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def deviation(df: DataFrame, columns: list[str], metrics: list[str] = ("skewness", "kurtosis")) -> DataFrame:
