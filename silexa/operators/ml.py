@@ -6,7 +6,7 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import PCA, ChiSqSelector, CountVectorizer, VectorAssembler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,20 @@ def gbt_predict(model: PipelineModel, df: DataFrame, prediction: str = "predicti
     return model.transform(df).drop("features").withColumnRenamed("prediction", prediction)
 
 
+def linear_regression(df: DataFrame, features: list[str], label: str, reg: float = 0.0, max_iter: int = 100) -> PipelineModel:
+    """Least squares by the normal equations (iterative beyond 4096 features)."""
+    return Pipeline(stages=[_assembled(features), LinearRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter)]).fit(df)
+
+
+def linear_coefficients(model: PipelineModel) -> DataFrame:
+    """(feature, coefficient), the intercept as feature "(intercept)"."""
+    lr, names = model.stages[-1], model.stages[0].getInputCols()
+    from pyspark.sql import SparkSession
+
+    rows = [*zip(names, map(float, lr.coefficients)), ("(intercept)", float(lr.intercept))]
+    return SparkSession.active().createDataFrame(rows, "feature string, coefficient double")
+
+
 def als(rates: DataFrame, k: int = 10, reg: float = 0.1, max_iter: int = 10, nonnegative: bool = True, seed: int = 42) -> ALSModel:
     """Non-negative factors of (user, item, rating) by alternating least squares; unknown ids are dropped when predicting."""
     return ALS(rank=k, regParam=reg, maxIter=max_iter, nonnegative=nonnegative, userCol="user", itemCol="item", ratingCol="rating", seed=seed, coldStartStrategy="drop").fit(rates)

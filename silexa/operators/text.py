@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tokens of an English text: at least two letters, digits or hyphens.
@@ -48,6 +48,13 @@ def term_counts(df: DataFrame, words: str, kind: str = "unigram", by_document: b
     return df.select(F.explode(F.array_distinct(terms) if by_document else terms).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
 
 
+def default_stop_words(spark: SparkSession, language: str = "english") -> DataFrame:
+    """(word): the built-in list of a language."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords(language)], "word string")
+
+
 def bad_words(df: DataFrame, words: str, stop_words: DataFrame | None = None, min_freq: int = 5, max_freq: int | None = None, top_n: int = 100, min_len: int = 2, max_len: int = 10) -> DataFrame:
     """(term) of stop words, the `top_n` most frequent ones (ties by term), and those of a frequency or length out of bounds."""
     c = term_counts(df, words)

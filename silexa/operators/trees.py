@@ -231,8 +231,11 @@ def random_forest(df: DataFrame, features: list[str], label: str, key: str, cart
     return Ensemble(trees, features, "vote" if cart.impurity == "gini" else "mean")
 
 
-def gbrt(df: DataFrame, features: list[str], label: str, cart: CART | None = None, num_round: int = 10, learn_rate: float = 0.02, every: int = 5) -> tuple[Ensemble, list[float]]:
-    """Boosted regression: the first tree counts whole, later ones on residuals times `learn_rate`; with the RMSE after each round."""
+def gbrt(df: DataFrame, features: list[str], label: str, cart: CART | None = None, num_round: int = 10, learn_rate: float = 0.02, every: int = 5, watch: DataFrame | None = None) -> tuple[Ensemble, list]:
+    """Boosted regression: the first tree counts whole, later ones on residuals times `learn_rate`.
+
+    With the RMSE after each round, or pairs of it and that of the table `watch`.
+    """
     cart = cart or CART()
     points = split_points(df, features, cart.max_bins)
     rows = cut(df.select(*features, F.col(label).cast("double").alias("__t")).filter(F.col("__t").isNotNull()).withColumn("__p", F.lit(0.0)))
@@ -246,6 +249,9 @@ def gbrt(df: DataFrame, features: list[str], label: str, cart: CART | None = Non
         if (k + 1) % every == 0:
             rows = cut(rows)
         errors.append(rows.agg(F.sqrt(F.avg(F.pow(F.col("__t") - F.col("__p"), 2)))).first()[0])
+        if watch is not None:
+            seen = Ensemble(trees, features, "sum").transform(watch, "__p")
+            errors[-1] = (errors[-1], seen.agg(F.sqrt(F.avg(F.pow(F.col(label).cast("double") - F.col("__p"), 2)))).first()[0])
     return Ensemble(trees, features, "sum"), errors
 
 

@@ -1,21 +1,18 @@
 """Queries of the readers, writers and reshaping operators."""
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reshape
-from ..session import shared_dir, table
+from ..session import stage_path, table
 from ..sources import readers, writers
 from .statistics import _r
 
 
 def _round_trip(df: DataFrame, fmt: str) -> DataFrame:
     """Written in a format and read back."""
-    path = os.path.join(shared_dir(df.sparkSession), "silexa-stage", f"trip-{uuid.uuid4().hex}")
+    path = stage_path(df.sparkSession, "trip")
     writers.write(df, path, fmt)
     return readers.read(df.sparkSession, path, fmt)
 
@@ -46,7 +43,7 @@ def format_libsvm(spark, d):
     rows = li.select(
         F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(3.0).alias("label"), F.array(*[F.lit(i) for i in range(4)]).alias("idx"), F.array(*cols).alias("val")
     )
-    path = os.path.join(shared_dir(spark), "silexa-stage", f"libsvm-{uuid.uuid4().hex}")
+    path = stage_path(spark, "libsvm")
     writers.write_libsvm(rows, path)
     back = readers.read_libsvm(spark, path)
     return back.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.sum(F.get("val", F.lit(i))), 2).alias(c) for i, c in enumerate(cols)])

@@ -105,6 +105,11 @@ def ml_gbt_regressor(spark, d):
     return ml.gbt_predict(ml.gbt_regressor(t, ["p_size", "p_partkey"], "p_retailprice", 3, 3, "gini"), t, "price").select("p_partkey", "price")
 
 
+def ml_linear_regression(spark, d):
+    t = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    return _r(ml.linear_coefficients(ml.linear_regression(t, ["l_quantity"], "l_extendedprice")), 3)
+
+
 def ml_softmax_step(spark, d):
     """Two exact gradient steps of softmax regression from zero weights."""
     f, y = _long(spark, d)
@@ -215,11 +220,12 @@ _R = "WITH r AS (SELECT CAST(o_custkey AS INTEGER) AS user, CAST(l_partkey % 200
 QUERIES = {
     f.__name__: f
     for f in (
-        ml_pca, ml_pca_transform, ml_chi_square, ml_isolation_forest, ml_cart_regression, ml_cart_root_split, ml_cart_bins, ml_cart_classes, ml_random_forest, ml_gbdt, ml_gbrt, ml_gbt_regressor, ml_softmax_step,
+        ml_pca, ml_pca_transform, ml_chi_square, ml_isolation_forest, ml_cart_regression, ml_cart_root_split, ml_cart_bins, ml_cart_classes, ml_random_forest, ml_gbdt, ml_gbrt, ml_gbt_regressor, ml_linear_regression, ml_softmax_step,
         ml_softmax_predict, ml_fm_score, ml_fm, ml_nmf_step, ml_nmf, ml_als, ml_svd_feature, ml_lda, ml_lda_topics, ml_perplexity, ml_word2vec, vector_functions, matrix_multiply, matrix_normalize,
     )
 }
 SQL = {
+    "ml_linear_regression": "SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 3) AS coefficient FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 3) FROM lineitem",
     "ml_softmax_step": _softmax_sql(),
     "ml_fm_score": _L + " SELECT id, round(0.25 + 0.5 * q - di + 2 * ta + (pow(0.1 * q + 0.3 * di - 0.5 * ta, 2) - pow(0.1 * q, 2) - pow(0.3 * di, 2) - pow(0.5 * ta, 2) + pow(-0.2 * q + 0.4 * di + 0.6 * ta, 2) - pow(0.2 * q, 2) - pow(0.4 * di, 2) - pow(0.6 * ta, 2)) / 2, 8) AS score FROM t",
     "ml_nmf_step": _R + " SELECT user, round(0.5 + 0.1 * (avg((rating - 0.5) * 0.5) - 0.005), 8) AS p0, round(0.5 + 0.1 * (avg((rating - 0.5) * 0.5) - 0.005), 8) AS p1 FROM r GROUP BY user",

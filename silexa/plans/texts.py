@@ -40,7 +40,7 @@ def text_document_frequency(spark, d):
 
 def text_word_filter(spark, d):
     docs = _docs(spark, d)
-    stop = spark.createDataFrame([("the",), ("and",), ("und",)], "word string")
+    stop = text.default_stop_words(spark).filter("word IN ('the', 'and')").union(text.default_stop_words(spark, "german").filter("word = 'und'"))
     out = text.filter_words(docs, "doc_id", "words", text.bad_words(docs, "words", stop, 5, 100_000, 50, 2, 10))
     return out.select("doc_id", F.array_join("words", " ").alias("words"))
 

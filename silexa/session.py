@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MARKED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,12 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in this application's part of the shared folder, which is deleted when the application ends."""
+    sc = spark.sparkContext
+    own = os.path.join(shared_dir(spark), "silexa-stage", sc.applicationId)
+    if own not in _MARKED:
+        p = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(own)
+    return os.path.join(own, f"{label}-{uuid.uuid4().hex}")
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as parquet in the shared folder and read it back: a lineage cut that keeps column pruning."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "silexa-stage", f"{label}-{uuid.uuid4().hex}")
+    path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, key: str, share: int = 1000) -> list:

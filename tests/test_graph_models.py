@@ -85,8 +85,8 @@ def test_cart_with_one_value_is_a_leaf(spark):
 def test_ensembles(numbers):
     forest = trees.random_forest(numbers, ["x", "y"], "c", "id", trees.CART("gini", 3, 16, 5), 5, 0.8, 1.0)
     assert forest.transform(numbers).agg(F.avg((F.col("prediction") == F.col("c")).cast("double"))).first()[0] > 0.85
-    boosted, errors = trees.gbrt(numbers, ["x", "y"], "t", trees.CART("variance", 3, 16), 4, 0.5)
-    assert errors == sorted(errors, reverse=True)
+    boosted, errors = trees.gbrt(numbers, ["x", "y"], "t", trees.CART("variance", 3, 16), 4, 0.5, watch=numbers)
+    assert errors == sorted(errors, reverse=True) and all(abs(a - b) < 1e-9 for a, b in errors)
     many = trees.gbdt(numbers, ["x", "y"], "c", trees.CART("variance", 2, 16), 3)
     assert many.transform(numbers).agg(F.avg((F.col("prediction") == F.col("c")).cast("double"))).first()[0] > 0.85
 

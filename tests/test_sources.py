@@ -94,3 +94,20 @@ def test_file_system_and_stages(spark, tmp_path):
     writers.save_stages(spark, [], first, str(tmp_path / "t"))
     chain = writers.save_stages(spark, writers.load_stages(spark, str(tmp_path / "t")), VectorAssembler(inputCols=["i", "v"], outputCol="f"), str(tmp_path / "u"))
     assert len(chain.stages) == 2 and chain.transform(df).select(F.col("f")).count() == 2
+
+
+def test_local_files(tmp_path):
+    from silexa.sources import local
+
+    p = tmp_path / "d" / "x"
+    local.write_map(p, {"a": 1, "b": "c\td"})
+    assert local.read_map(p) == {"a": "1", "b": "c\td"}
+    local.write_map_of_maps(p, {"a": {"x": 1}, "b": {"x": 2}})
+    assert local.read_map_of_maps(p) == {"a": {"x": "1"}, "b": {"x": "2"}}
+    assert local.invert_map_of_maps({"a": {"x": 1}, "b": {"x": 2}}) == {"x": {"a": 1, "b": 2}}
+    local.write_separated(p, [["h", "i"], ["a,b", 2]])
+    assert local.read_separated(p, header=True) == [["a,b", "2"]]
+    local.write_object(p, {"k": [1, None]})
+    assert local.read_object(p) == {"k": [1, None]}
+    local.write_lines(p, ["é", 2])
+    assert local.read_lines(p) == ["é", "2"]
