@@ -31,7 +31,7 @@ def record_terms(records: DataFrame) -> DataFrame:
 
     The sorted array is cut into runs; all steps are linear in the record's length.
     """
-    s = records.select("rec", F.array_sort("w").alias("w"))
+    s = records.select("rec", F.sort_array("w").alias("w"))
     s = s.withColumn("starts", F.expr("filter(sequence(0, size(w) - 1), i -> i = 0 OR get(w, i) != get(w, i - 1))"))
     return s.select("rec", F.expr("inline(transform(starts, (p, k) -> struct(get(w, p) AS term, coalesce(get(starts, k + 1), size(w)) - p AS tf)))"))
 

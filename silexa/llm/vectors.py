@@ -93,3 +93,23 @@ def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(cos)], ["a", "b", "cosine"])
 
     return pairs.join(va, "a").join(vb, "b").select("a", "b", "ai", "av", "bi", "bv").mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows, which come sorted by `names`."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(n).to_numpy() for n in names])
+        cuts = np.r_[0, np.flatnonzero((np.diff(keys) != 0).any(0)) + 1, b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            now = tuple(keys[:, lo])
+            if held and now != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.concat_batches(held)
