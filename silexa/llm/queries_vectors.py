@@ -30,10 +30,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Any two flowers of a group lie at most 1.0 apart, all others more than 1.1; points by cosine.
-FLOWERS = Measure("euclid", strict=1.0, loose=1.1, jaccard=0.4)
-POINTS = Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3)
-#: Side of a cell and cells on each side of a flower: its token set is the square of 16 x 16 cells around it.
-CELL, REACH = 0.25, 8
+FLOWERS = Measure("euclid", strict=1.0, loose=1.1, jaccard=0.35)
+POINTS = Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3, indices=True)
+#: Side of a cell and cells on each side of a flower: its token set is the square of 8 x 8 cells around it.
+CELL, REACH = 0.5, 4
 
 
 def _flowers(spark: SparkSession, d: str) -> DataFrame:
