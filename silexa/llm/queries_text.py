@@ -26,4 +26,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+#: The entities that forum posts hold; others would be words of their own here.
+_TEXT = "lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({t}, '</?[A-Za-z][^<>]*>|\\[/?[A-Za-z*][^\\[\\]\\n]*\\]', ' ', 'g'), '&#0?39;|&middot;|&quot;', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(8203), ''), chr(173), ''))"
+_LEAKS = f"""
+WITH d AS (SELECT doc_id AS k, regexp_extract_all({_TEXT.format(t="text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id AS k, regexp_extract_all({_TEXT.format(t="text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items),
+dr AS (SELECT k, list_aggregate(w[i : i + 11], 'string_agg', ' ') AS r FROM d, unnest(range(1, len(w) - 10)) x(i)),
+er AS (SELECT DISTINCT k, list_aggregate(w[i : i + 11], 'string_agg', ' ') AS r FROM e, unnest(range(1, len(w) - 10)) x(i))
+"""
+SQL = {
+    "p9_found": _LEAKS + "SELECT DISTINCT dr.k AS doc_id, er.k AS item_id FROM dr JOIN er ON dr.r = er.r",
+    "p9_leaked_items": _LEAKS + "SELECT er.k AS item_id, count(DISTINCT dr.k) AS posts FROM dr JOIN er ON dr.r = er.r GROUP BY er.k",
+}

@@ -79,4 +79,27 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_groups": p7_groups}
-SQL: dict[str, str] = {}
+#: Unit entries (side, key, i, v) of the canonical vectors, and cosines of all pairs that share an index.
+_VECTORS = """
+WITH raw AS (SELECT 'fs' AS side, point_id AS key, fs_idx AS i, fs_val AS v FROM labeled_points
+  UNION ALL SELECT 'u_fs', user_key, u_fs_idx, u_fs_val FROM svd_feature_points UNION ALL SELECT 'i_fs', item_key, i_fs_idx, i_fs_val FROM svd_feature_points),
+one AS (SELECT side, key, i, v FROM (SELECT *, row_number() OVER (PARTITION BY side, key ORDER BY len(i) DESC) AS rn FROM raw WHERE key IS NOT NULL AND len(i) > 0) WHERE rn = 1),
+e AS (SELECT side, key, unnest(i) AS i, unnest(v) AS v FROM one), n AS (SELECT side, key, sqrt(sum(v * v)) AS n FROM e WHERE v <> 0 GROUP BY ALL),
+u AS (SELECT e.side, e.key, i, v / n AS v FROM e JOIN n ON e.side = n.side AND e.key = n.key WHERE v <> 0),
+c AS MATERIALIZED (SELECT a.side AS side, a.key AS a, b.key AS b, round(sum(a.v * b.v), 9) AS c FROM u a JOIN u b ON a.side = b.side AND a.i = b.i AND a.key <> b.key GROUP BY ALL)
+"""
+#: A group is a record's neighbourhood in the loose sense, if all its members have the same one and are close in the strict sense.
+_GROUPS = """
+WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY flower_id ORDER BY loaded_at DESC) AS rn FROM iris_wheader)
+  WHERE rn = 1 AND flower_id IS NOT NULL AND bed_id IS NOT NULL AND NOT isnan(coalesce(sepal_len, 'nan')) AND NOT isnan(coalesce(petal_len, 'nan'))),
+d AS (SELECT 'iris' AS src, a.flower_id AS a, b.flower_id AS b, sqrt(pow(a.sepal_len - b.sepal_len, 2) + pow(a.petal_len - b.petal_len, 2)) AS d FROM t a JOIN t b ON a.bed_id = b.bed_id),
+near AS (SELECT src, a, b, d <= 1.0 + 1e-9 AS strict FROM d WHERE d <= 1.1 + 1e-9 UNION ALL SELECT 'points', a, b, c >= 0.6 FROM c WHERE side = 'fs' AND c >= 0.5
+  UNION ALL SELECT DISTINCT 'points', key, key, true FROM u WHERE side = 'fs'),
+g AS (SELECT src, a, list(b ORDER BY b) AS members, bool_and(strict) AS strict FROM near GROUP BY src, a),
+w AS (SELECT src, members FROM g WHERE len(members) >= 5 GROUP BY src, members HAVING count(*) = len(members) AND bool_and(strict))
+"""
+SQL = {
+    "p1_found": _VECTORS + """, r AS (SELECT side, a, b, row_number() OVER (PARTITION BY side, a ORDER BY c DESC, b) AS k FROM c WHERE c >= 0.94)
+SELECT DISTINCT side, least(a, b) AS key_a, greatest(a, b) AS key_b FROM r WHERE k <= 10""",
+    "p7_found": _VECTORS + _GROUPS.replace("WITH t AS", ", t AS", 1) + "SELECT src, unnest(members) AS member_id, list_min(members) AS cluster_id FROM w",
+}
