@@ -1,12 +1,12 @@
 """Queries of problems 1 and 7."""
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, together
 from .clusters import Measure, isolated, similarity_clusters
 from .neighbours import most_similar
 from .vectors import canonical
@@ -16,11 +16,12 @@ SIDES = {"fs": ("labeled_points", "point_id", "fs_idx", "fs_val"), "u_fs": ("svd
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ids of the ten most similar vectors of every vector of the three collections."""
-    parts = []
-    for side, (name, key, idx, val) in SIDES.items():
+
+    def one(side: str, name: str, key: str, idx: str, val: str) -> DataFrame:
         near = most_similar(table(spark, d, name), key, idx, val, k=10, min_cosine=0.94)
-        parts.append(near.select(F.lit(side).alias("side"), F.col(key).alias("key"), "other", "cosine", "rank"))
-    return reduce(DataFrame.unionByName, parts)
+        return near.select(F.lit(side).alias("side"), F.col(key).alias("key"), "other", "cosine", "rank")
+
+    return reduce(DataFrame.unionByName, together(*[partial(one, side, *x) for side, x in SIDES.items()]))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,22 +60,26 @@ def _point_records(spark: SparkSession, d: str) -> DataFrame:
     return v.select("key", "cls", F.col("idx").alias("tokens"), "idx", "val")
 
 
+def _both(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Members and groups of flowers, and of points."""
+    return together(lambda: similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS), lambda: similarity_clusters(_point_records(spark, d), POINTS))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of isolated groups of at least five mutually similar records."""
     flowers = _flowers(spark, d)
-    members, groups = similarity_clusters(_flower_records(flowers), FLOWERS)
+    (members, groups), (points, point_groups) = _both(spark, d)
     placed = flowers.join(members, "key").select("key", "cluster", F.col("bed").alias("space"), "x", "y")
     groups = groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster")
     iris = isolated(placed.join(groups, "cluster"), placed, FLOWERS.loose).select(F.lit("iris").alias("src"), "key", "cluster")
-    members, groups = similarity_clusters(_point_records(spark, d), POINTS)
-    points = members.join(groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster"), "cluster").select(F.lit("points").alias("src"), "key", "cluster")
+    point_groups = point_groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster")
+    points = points.join(point_groups, "cluster").select(F.lit("points").alias("src"), "key", "cluster")
     return iris.union(points).select("src", F.col("key").alias("member_id"), F.col("cluster").alias("cluster_id"))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every group's size and most typical members."""
-    parts = [("iris", similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS)), ("points", similarity_clusters(_point_records(spark, d), POINTS))]
-    out = [g.select(F.lit(src).alias("src"), F.col("cluster").alias("cluster_id"), "size", "whole", "typical") for src, (_, g) in parts]
+    out = [g.select(F.lit(src).alias("src"), F.col("cluster").alias("cluster_id"), "size", "whole", "typical") for src, (_, g) in zip(("iris", "points"), _both(spark, d))]
     return out[0].union(out[1])
 
 

@@ -15,16 +15,16 @@ from ..session import staged
 MIN_POSTS, MIN_SHARE = 5, 0.0001
 
 # --- the poster's own text ------------------------------------------------------------------------------------------
-_QUOTE_TAG = re.compile(r"\[(/?)quote(?:=[^\]\n]*)?\]|<(/?)blockquote[^<>]*>", re.I)
-_CODE = re.compile(r"\[code[^\]]*\].*?\[/code\]|<(pre|code)\b[^<>]*>.*?</\1>|```.*?```|`[^`\n]*`", re.I | re.S)
+_QUOTE_TAG = re.compile(r"\[(/?)quote(?:=[^\[\]\n]*)?\]|<(/?)blockquote[^<>]*>", re.I)
+_CODE_TAG = re.compile(r"\[(/?)(code)[^\[\]\n]*\]|<(/?)(pre|code)\b[^<>]*>|(```)|`[^`\n]*`", re.I)
 _QUOTED_LINE = re.compile(r"^\s*(?:<p>\s*)?(?:>|&gt;|\|)")
 _ATTRIBUTION = re.compile(r"^.{0,80}\b(?:wrote|writes|schrieb|schreibt|écrit|escribió|escribio|dijo|said)\s*:\s*$", re.I)
 _MARKUP = re.compile(
     r"</?(?:p|br|b|i|u|s|em|strong|small|hr|h[1-6]|div|span|cite|center|noscript|ul|ol|li|a|img|table|tr|td|font)(?:\s[^<>]*)?/?>"
-    r"|\[/?(?:b|i|u|s|url|img|color|size|center|list|\*|spoiler)(?:=[^\]\n]*)?\]",
+    r"|\[/?(?:b|i|u|s|url|img|color|size|center|list|\*|spoiler)(?:=[^\[\]\n]*)?\]",
     re.I,
 )
-_IMAGE = re.compile(r"\[img\].*?\[/img\]|https?://\S+", re.I | re.S)
+_IMAGE = re.compile(r"\[img\][^\[]*\[/img\]|https?://\S+", re.I)
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|h[1-6]|div|hr|li|small)\b[^<>]*>", re.I)
 
 
@@ -52,9 +52,26 @@ def without_quotes(text: str) -> str:
     return "\n".join(own)
 
 
+def without_code(text: str) -> str:
+    """`text` with blocks and spans of code replaced by a word; a block that is never closed ends with the text."""
+    out, at, name = [], 0, None
+    for m in _CODE_TAG.finditer(text):
+        tag = (m[2] or m[4] or m[5] or "").lower()
+        if name is None:
+            if m[1] or m[3]:  # closes nothing
+                continue
+            out.append(text[at : m.start()] + " CODE ")
+            at, name = m.end(), tag or None
+        elif tag == name and (m[1] or m[3] or m[5]):
+            at, name = m.end(), None
+    if name is None:
+        out.append(text[at:])
+    return "".join(out)
+
+
 def own_lines(text: str) -> list[str]:
     """The poster's own lines, without code, markup and addresses."""
-    s = _CODE.sub(" CODE ", without_quotes(text))
+    s = without_code(without_quotes(text))
     s = _MARKUP.sub("", _BREAK.sub("\n", _IMAGE.sub(" ", s)))
     lines = (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in s.split("\n"))
     return [x for x in lines if x and not _FOOTER.match(x)]

@@ -37,6 +37,12 @@ def test_nested_and_open_quotes():
     assert r.own_lines("so she wrote:\nmine") == ["so she wrote:", "mine"]
 
 
+def test_code_blocks():
+    assert r.without_code("a [code]x{y}[/code] b `c` d") == "a  CODE  b  CODE  d"
+    assert r.without_code("</pre>a <pre class=x>b [code] c</pre> d ```e``` f [code]g") == "</pre>a  CODE  d  CODE  f  CODE "
+    assert len(r.own_lines("[code" * 100_000 + "<pre>" * 100_000 + "[quote]" * 50_000)) <= 1  # linear, however many are left open
+
+
 def test_recurrent_lines_are_subtracted(spark):
     page = "Service temporarily unavailable."
     footer = "Riverside boards is a place for people who mend old machines together since the early days of the town"
