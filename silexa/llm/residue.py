@@ -15,7 +15,7 @@ from ..session import staged
 MIN_POSTS, MIN_SHARE = 5, 0.0001
 
 # --- the poster's own text ------------------------------------------------------------------------------------------
-_QUOTE_TAG = re.compile(r"\[(/?)quote(?:=[^\[\]\n]*)?\]|<(/?)blockquote[^<>]*>", re.I)
+_QUOTE_TAG = re.compile(r"\[(/?)quote(?:=(?:[^\[\]\n]|\[[^\[\]\n]*\])*)?\]|<(/?)blockquote[^<>]*>", re.I)
 _CODE_TAG = re.compile(r"\[(/?)(code)[^\[\]\n]*\]|<(/?)(pre|code)\b[^<>]*>|(```)|`[^`\n]*`", re.I)
 _QUOTED_LINE = re.compile(r"^\s*(?:<p>\s*)?(?:>|&gt;|\|)")
 _ATTRIBUTION = re.compile(r"^.{0,80}\b(?:wrote|writes|schrieb|schreibt|écrit|escribió|escribio|dijo|said)\s*:\s*$", re.I)

@@ -33,6 +33,7 @@ def test_talk_code_and_quotes_are_not(text):
 
 def test_nested_and_open_quotes():
     assert r.own_lines("a\n[quote=x]b[quote=y]c[/quote]d[/quote]e[quote=z]never closed") == ["a", "e"]
+    assert r.own_lines("[quote=[deleted]]{{name}}[/quote]mine") == ["mine"]
     assert r.own_lines("k wrote:\n> one\n>> two\nmine") == ["mine"]
     assert r.own_lines("so she wrote:\nmine") == ["so she wrote:", "mine"]
 
