@@ -21,6 +21,8 @@ WIDTH = 1 << 16
 SMALL, LARGE = 256, 4096
 #: Columns that are dense at a time when a large bucket is searched.
 COLUMNS = 2048
+#: Exact search: vectors of a block, queries of a block at a time, and products of entries at a time.
+BLOCK, QUERIES, PRODUCTS = 8192, 256, 1 << 22
 
 
 def plan(n: int, min_cosine: float, miss: float, probe: int = 0) -> tuple[int, int, int]:
@@ -175,6 +177,85 @@ def _massed_pairs(codes: DataFrame, big: DataFrame, vectors: DataFrame, parts: i
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
+def _cosines(q: tuple, b: tuple) -> np.ndarray:
+    """Dot products of each row of `q` with each row of `b`: by the columns' entries, or densely where entries are many."""
+    (qo, qi, qv), (bo, bi, bv) = q, b
+    nq, nb = len(qo) - 1, len(bo) - 1
+    rq, rb = np.repeat(np.arange(nq), np.diff(qo)), np.repeat(np.arange(nb), np.diff(bo))
+    names, at = np.unique(np.r_[qi, bi], return_inverse=True)
+    aq, ab = at[: len(qi)], at[len(qi) :]
+    count = np.bincount(ab, minlength=len(names))
+    each = count[aq]
+    if each.sum() * 300 > nq * nb * len(names):
+        out = np.zeros((nq, nb))
+        for lo in range(0, len(names), COLUMNS):  # dense in some columns at a time
+            width = min(COLUMNS, len(names) - lo)
+            dense = [np.zeros((nq, width)), np.zeros((nb, width))]
+            for x, r, a, v in zip(dense, (rq, rb), (aq, ab), (qv, bv)):
+                some = (a >= lo) & (a < lo + width)
+                x[r[some], a[some] - lo] = v[some]
+            out += dense[0] @ dense[1].T
+        return out
+    order = np.argsort(ab, kind="stable")
+    starts, rows, values = np.cumsum(count) - count, rb[order], bv[order]
+    out, ends, lo = np.zeros(nq * nb), np.cumsum(each), 0
+    while lo < len(each):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, "right")))
+        e = each[lo:hi]
+        pos = np.arange(e.sum()) + np.repeat(starts[aq[lo:hi]] - (np.cumsum(e) - e), e)
+        out += np.bincount(np.repeat(rq[lo:hi], e) * nb + rows[pos], np.repeat(qv[lo:hi], e) * values[pos], nq * nb)
+        lo = hi
+    return out.reshape(nq, nb)
+
+
+def exact_nearest(rows: DataFrame, keep: int) -> DataFrame:
+    """(cls, near, cosine): the `keep` nearest others of every asking vector, by comparing it with its whole space.
+
+    `rows` has (space, cls, head, asks, idx, val). Equal cosines (to nine decimals) go by `head`. A task compares a block of
+    queries with a block of vectors and gives `keep` rows a query; those of all blocks are merged.
+    """
+    sizes = rows.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = rows.join(sizes, "space").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    columns = ["cls", "head", "idx", "val"]
+    asked = rows.filter("asks").select("space", F.col("k").alias("x"), F.col("o").alias("y"), F.lit(True).alias("query"), *columns)
+    both = asked.union(rows.select("space", F.col("o").alias("x"), F.col("k").alias("y"), F.lit(False).alias("query"), *columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, ["space", "x", "y"]):
+            query = g.column("query").to_numpy(zero_copy_only=False)
+            base = g.filter(pa.array(~query))
+            asked = g.filter(pa.array(query))
+            ids, n = base.column("cls").to_numpy(), base.num_rows
+            if not n:
+                continue
+            b = csr(base.column("idx"), base.column("val"))
+            for lo in range(0, asked.num_rows, QUERIES):
+                q = asked.slice(lo, QUERIES)
+                own = q.column("cls").to_numpy()
+                cos = np.rint(_cosines(csr(q.column("idx"), q.column("val")), b) * 1e9).astype(np.int64)
+                order = cos * n - np.arange(n)  # the vectors come sorted by head
+                near = np.argpartition(-order, keep, axis=1)[:, : keep + 1] if n > keep + 1 else np.broadcast_to(np.arange(n), (len(own), n))
+                i, j = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
+                other = own[i] != ids[j]
+                i, j = i[other], j[other]
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), base.column("head").take(pa.array(j)), pa.array(cos[i, j] / 1e9)], ["cls", "near", "head", "cosine"])
+
+    kind = rows.schema["head"].dataType.simpleString()
+    found = both.repartition("space", "x", "y").sortWithinPartitions("space", "x", "y", "head").mapInArrow(run, f"cls bigint, near bigint, head {kind}, cosine double")
+    order = Window.partitionBy("cls").orderBy(F.desc("cosine"), "head", "near")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).select("cls", "near", "cosine")
+
+
+def _completed(both: DataFrame, unique: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(cls, near, cosine) with the exact nearest classes instead for every class that has fewer than `k` other keys near."""
+    heads = members.groupBy("cls").agg(F.count("*").alias("weight"), F.min("key").alias("head"))
+    around = both.join(heads.select(F.col("cls").alias("near"), "weight"), "near").groupBy("cls").agg(F.sum("weight").alias("around"))
+    asks = F.coalesce("around", F.lit(0)) + F.col("weight") <= k
+    rows = staged(unique.join(heads, "cls").join(around, "cls", "left").select(F.lit(0).alias("space"), "cls", "head", asks.alias("asks"), "idx", "val"), "asking")
+    short = rows.filter("asks").select("cls")
+    return staged(both.join(short, "cls", "left_anti").union(exact_nearest(rows, k)), "completed")
+
+
 def _first(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """The first `k` rows of every group, ranked in salted parts first, so that no task sorts a whole large group."""
     salt = F.pmod(F.xxhash64("key"), F.lit(32))
@@ -183,13 +264,14 @@ def _first(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return df.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= k)
 
 
-def most_similar(df: DataFrame, key: str, idx: str, val: str, k: int = 10, min_cosine: float = 0.94, miss: float = 0.005) -> DataFrame:
+def most_similar(df: DataFrame, key: str, idx: str, val: str, k: int = 10, min_cosine: float = 0.94, miss: float = 0.005, complete: bool = False) -> DataFrame:
     """For every vector its `k` most similar other vectors: (key, other, cosine, rank), ties by the other's key.
 
     Multi-index hashing: each vector gets a binary code from a learned rotation, the code is split into substrings, each
     an index of its own; vectors that share a substring are retrieved, filtered by the codes' Hamming distance and
     reranked by the cosine of the vectors themselves. Neighbours of at least `min_cosine` are found with a
-    probability of 1 - `miss` or more; less similar ones are no neighbours here.
+    probability of 1 - `miss` or more; less similar ones are no neighbours, unless the result is to be `complete`: then
+    a vector that has fewer than `k` neighbours is compared with all others, whatever their cosine, and gets its true `k`.
 
     Vectors of the same direction form a class that is searched once. Each class then needs only the first k + 1 keys
     of itself and of its neighbours, so copies never multiply. Null, empty and zero vectors have no neighbours; how
@@ -199,6 +281,8 @@ def most_similar(df: DataFrame, key: str, idx: str, val: str, k: int = 10, min_c
     unique = staged(classes(members), "classes")
     pairs = staged(similar_classes(unique, min_cosine, miss, k=k), "similar")
     both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("near"), "cosine").union(pairs.select("b", "a", "cosine"))
+    if complete:
+        both = _completed(both, unique, members, k)
     own = unique.select("cls", F.col("cls").alias("near"), F.lit(1.0).alias("cosine"))
     heads = _first(members.select("key", "cls"), "cls", ["key"], k + 1).select("key", F.col("cls").alias("near"))
     wide = _first(both.union(own).join(heads, "near"), "cls", [F.desc("cosine"), "key"], k + 1).select("cls", F.col("key").alias("other"), "cosine", "r")

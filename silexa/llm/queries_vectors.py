@@ -14,19 +14,22 @@ from .vectors import canonical
 SIDES = {"fs": ("labeled_points", "point_id", "fs_idx", "fs_val"), "u_fs": ("svd_feature_points", "user_key", "u_fs_idx", "u_fs_val"), "i_fs": ("svd_feature_points", "item_key", "i_fs_idx", "i_fs_val")}
 
 
-def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ids of the ten most similar vectors of every vector of the three collections."""
-
+def _neighbours(spark: SparkSession, d: str, complete: bool) -> DataFrame:
     def one(side: str, name: str, key: str, idx: str, val: str) -> DataFrame:
-        near = most_similar(table(spark, d, name), key, idx, val, k=10, min_cosine=0.94)
+        near = most_similar(table(spark, d, name), key, idx, val, k=10, min_cosine=0.94, complete=complete)
         return near.select(F.lit(side).alias("side"), F.col(key).alias("key"), "other", "cosine", "rank")
 
     return reduce(DataFrame.unionByName, together(*[partial(one, side, *x) for side, x in SIDES.items()]))
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the ten most similar vectors of every vector of the three collections, however similar they are."""
+    return _neighbours(spark, d, complete=True)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of cosine >= 0.94 where one is among the ten most similar of the other."""
-    near = p1_neighbours(spark, d).filter(F.col("cosine") >= 0.94)
+    near = _neighbours(spark, d, complete=False).filter(F.col("cosine") >= 0.94)
     return near.select("side", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 

@@ -118,6 +118,25 @@ def test_neighbours_of_nothing(spark):
     assert neighbours.most_similar(zero, "key", "idx", "val").count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 64])
+def test_every_vector_gets_its_k_nearest(spark, monkeypatch, block):
+    """Also vectors whose nearest are far below the least cosine, or share no index with them."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rows = near_copies(np.random.default_rng(11), 60, 5) + [("lone", [900], [1.0]), ("twin", [900], [2.0])]
+    got = {}
+    for r in neighbours.most_similar(frame(spark, rows), "key", "idx", "val", 10, 0.94, complete=True).collect():
+        got.setdefault(r["key"], []).append((r["rank"], r["other"], r["cosine"]))
+    x = np.zeros((len(rows), 901))
+    for r, (_, i, v) in enumerate(rows):
+        x[r, i] = np.asarray(v) / np.linalg.norm(v)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert len(got) == len(rows) and all(sorted(a for a, _, _ in v) == list(range(1, 11)) for v in got.values())
+    for r, (key, _, _) in enumerate(rows):
+        assert np.allclose(sorted((c for _, _, c in got[key]), reverse=True), np.sort(s[r])[::-1][:10], atol=1e-6)
+    assert [o for _, o, _ in sorted(got["lone"])] == ["twin", *sorted(k for k, _, _ in rows if k not in ("lone", "twin"))[:9]]
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (10, 11), (3, 4), (4, 5), (5, 6), (6, 7), (20, 22), (21, 22)]
     links = spark.createDataFrame(pairs, "a bigint, b bigint")
