@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from silexa.llm import terms
+from silexa.llm import queries_terms, terms
 
 SCHEMA = "rec_id string, words array<string>, loaded_at int, term string, n int"
 
@@ -80,3 +80,13 @@ def test_a_single_record(spark):
     df = spark.createDataFrame([("a", ["x", "x"], 0, "", 0)], SCHEMA)
     r = terms.distinctive_terms(df, "rec_id", terms.clean_words("words"), "loaded_at").collect()
     assert len(r) == 1 and not math.isnan(r[0]["score"])
+
+
+def test_one_extreme_record_hides_no_other(spark, tmp_path):
+    """A term with tf 3 and 60: the model takes only the 60 for elite, the exact bound holds for both."""
+    words = [["w"] * 3, ["w"] * 60, *[["filler"]] * 5_998]
+    spark.createDataFrame([(f"r{i}", w, 0) for i, w in enumerate(words)], "rec_id string, words array<string>, loaded_at int").write.parquet(str(tmp_path / "raw_docs.parquet"))
+    spark.createDataFrame([(f"r{i}", [7] * len(w) if w[0] == "w" else [1], 0) for i, w in enumerate(words)], "rec_id string, words array<int>, loaded_at int").write.parquet(str(tmp_path / "docs.parquet"))
+    assert 3 * math.log(6_000 / 2) / math.log(6_000) >= 2.5
+    got = {(r["src"], r["rec_id"], r["term"]) for r in queries_terms.p2_found(spark, str(tmp_path)).collect()}
+    assert got == {(src, rec, term) for src, term in (("raw", "w"), ("idx", "7")) for rec in ("r0", "r1")}
