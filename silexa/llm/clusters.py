@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,28 +158,22 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("cls"), F.col("l").alias("comp"))
 
 
-def exact_degrees(parts: DataFrame, m: Measure) -> DataFrame:
-    """(cls, comp, weight, similar, closeness) of (comp, cls, weight, idx, val): every pair of a component compared.
+def _block_pairs(rows: DataFrame, m: Measure, columns: list[str], each: Callable, schema: str) -> DataFrame:
+    """What `each` gives for pairs of blocks of (comp, cls, idx, val, *columns), so that every pair of a component is compared.
 
-    `similar` is the weight of the records of the component that are strictly similar to the class, its own included;
-    `closeness` sums its similarity (or negative distance) to all. Large components are compared in blocks of BLOCK, a
-    pair of blocks a task; no pair is ever a row.
+    Large components are cut into blocks of BLOCK, a pair of blocks a task. `each` gets the rows of a pair, the places of the
+    left and the right block in them, their measure and whether the two are the same block.
     """
-    sizes = parts.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), (F.count("*") == 1).alias("alone"))
-    rows = parts.join(sizes, "comp")
-    # a class alone has only its copies to be similar to
-    self = F.aggregate("val", F.lit(0.0), lambda acc, v: acc + v * v) if m.kind == "cosine" else F.lit(0.0)
-    alone = rows.filter("alone").select("comp", "cls", "weight", F.col("weight").alias("similar"), (self * F.col("weight")).alias("closeness"))
-    rows = rows.filter("NOT alone")
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("comp", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "weight", "idx", "val")
+    sizes = rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = rows.join(sizes, "comp").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("comp", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "idx", "val", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, ["comp", "x", "y"]):
             offsets, idx, val = csr(g.column("idx"), g.column("val"))
             names, at = np.unique(idx, return_inverse=True)
             row = np.repeat(np.arange(g.num_rows), np.diff(offsets))
-            k, w = g.column("k").to_numpy(), g.column("weight").to_numpy().astype(float)
+            k = g.column("k").to_numpy()
             x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
             left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
             how = np.zeros((len(left), len(right)))
@@ -191,44 +185,79 @@ def exact_degrees(parts: DataFrame, m: Measure) -> DataFrame:
             if m.kind == "euclid":
                 sq = np.bincount(row, weights=val**2, minlength=g.num_rows)
                 how = np.sqrt(np.maximum(sq[left][:, None] + sq[right][None] - 2 * how, 0))
-            near = m.within(how, m.strict)
-            close = how if m.kind == "cosine" else -how
-            rows = [(left, near @ w[right], close @ w[right])]
-            if x != y:
-                rows.append((right, near.T @ w[left], close.T @ w[left]))
-            take = np.concatenate([r[0] for r in rows])
-            yield pa.RecordBatch.from_arrays(
-                [g.column("comp").take(pa.array(take)), g.column("cls").take(pa.array(take)), g.column("weight").take(pa.array(take)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows]))],
-                ["comp", "cls", "weight", "similar", "closeness"],
-            )
+            yield from each(g, left, right, how, x == y)
+
+    return rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, schema)
+
+
+def exact_degrees(parts: DataFrame, m: Measure) -> DataFrame:
+    """(cls, comp, weight, similar, closeness) of (comp, cls, weight, idx, val): every pair of a component compared.
+
+    `similar` is the weight of the records of the component that are strictly similar to the class, its own included;
+    `closeness` sums its similarity (or negative distance) to all. No pair is ever a row.
+    """
+    rows = parts.join(parts.groupBy("comp").agg((F.count("*") == 1).alias("alone")), "comp")
+    # a class alone has only its copies to be similar to
+    self = F.aggregate("val", F.lit(0.0), lambda acc, v: acc + v * v) if m.kind == "cosine" else F.lit(0.0)
+    alone = rows.filter("alone").select("comp", "cls", "weight", F.col("weight").alias("similar"), (self * F.col("weight")).alias("closeness"))
 
-    done = rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, "comp bigint, cls bigint, weight bigint, similar bigint, closeness double")
+    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        w = g.column("weight").to_numpy().astype(float)
+        near = m.within(how, m.strict)
+        close = how if m.kind == "cosine" else -how
+        rows = [(left, near @ w[right], close @ w[right])]
+        if not same:
+            rows.append((right, near.T @ w[left], close.T @ w[left]))
+        take = np.concatenate([r[0] for r in rows])
+        yield pa.RecordBatch.from_arrays(
+            [g.column("comp").take(pa.array(take)), g.column("cls").take(pa.array(take)), g.column("weight").take(pa.array(take)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows]))],
+            ["comp", "cls", "weight", "similar", "closeness"],
+        )
+
+    done = _block_pairs(rows.filter("NOT alone").drop("alone"), m, ["weight"], each, "comp bigint, cls bigint, weight bigint, similar bigint, closeness double")
     return done.groupBy("comp", "cls", "weight").agg(F.sum("similar").alias("similar"), F.sum("closeness").alias("closeness")).union(alone)
 
 
-def _split(loose: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, comp): loose components divided around medoids.
+def _greatest_near(rows: DataFrame, m: Measure) -> DataFrame:
+    """(cls, h): of every class of (comp, cls, idx, val, d) the greatest (d, b) among the strictly similar others of its
+    component that have a `d`; classes without such have no row."""
+
+    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        d, cls = g.column("d").fill_null(-1).to_numpy(), g.column("cls").to_numpy()
+        place = np.empty(len(d), np.int64)
+        place[np.lexsort((cls, d))] = np.arange(len(d))
+        near = m.within(how, m.strict) & (cls[left][:, None] != cls[right][None])
+        for a, b, ok in [(left, right, near)] + ([] if same else [(right, left, near.T)]):
+            if not len(a) or not len(b):
+                continue
+            top = np.where(ok & (d[b] >= 0), place[b], -1)
+            best = top.argmax(1)
+            found = np.flatnonzero(top.max(1) >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a[found]]), pa.array(d[b[best[found]]]), pa.array(cls[b[best[found]]])], ["cls", "d", "b"])
+
+    return _block_pairs(rows, m, ["d"], each, "cls bigint, d bigint, b bigint").groupBy("cls").agg(F.max(F.struct("d", "b")).alias("h"))
+
+
+def _split(loose: DataFrame, m: Measure) -> DataFrame:
+    """(cls, comp): loose components (comp, cls, weight, idx, val) divided around medoids.
 
-    A class that has more similar records than every class linked to it is a medoid; classes linked to medoids join
-    the greatest of them; the rest is divided in further rounds, where degrees count the remaining classes only.
+    A class that has more similar records than every class similar to it is a medoid; classes similar to medoids join
+    the greatest of them; the rest is divided in further rounds, where degrees count the remaining classes only. All pairs
+    of a component are compared, not only the candidates.
     """
-    left = cut(loose.select("cls", "weight"))
+    left = staged(loose.select("comp", "cls", "weight", "idx", "val"), "left")
     done = None
-    ends = links.filter("strict").select("a", "b")
-    both = staged(ends.union(ends.select("b", "a")), "split")
     while not left.isEmpty():
-        e = both.join(left.select(F.col("cls").alias("a"), F.col("weight").alias("wa")), "a").join(left.select(F.col("cls").alias("b"), F.col("weight").alias("wb")), "b")
-        degree = left.join(e.groupBy(F.col("a").alias("cls")).agg(F.sum("wb").alias("d")), "cls", "left").select("cls", (F.coalesce("d", F.lit(0)) + F.col("weight")).alias("d"))
-        degree = cut(degree)
-        seen = e.select("a", "b").join(degree.select(F.col("cls").alias("b"), F.col("d").alias("db")), "b")
-        best = seen.groupBy(F.col("a").alias("cls")).agg(F.max(F.struct("db", "b")).alias("m"))
-        own = degree.join(best, "cls", "left").withColumn("medoid", F.col("m").isNull() | (F.struct("d", "cls") > F.struct(F.col("m.db").alias("d"), F.col("m.b").alias("cls"))))
-        own = cut(own.select("cls", "d", "medoid"))
-        heads = own.filter("medoid").select(F.col("cls").alias("b"), F.col("d").alias("hd"))
-        joined = e.select("a", "b").join(heads, "b").groupBy(F.col("a").alias("cls")).agg(F.max(F.struct("hd", "b")).alias("h")).select("cls", F.col("h.b").alias("comp"))
-        now = cut(own.filter("medoid").select("cls", F.col("cls").alias("comp")).union(joined.join(own.filter("medoid").select("cls"), "cls", "left_anti")))
+        degree = exact_degrees(left, m).select("cls", F.col("similar").alias("d"))
+        rows = staged(left.join(degree, "cls"), "degree")
+        own = rows.select("comp", "cls", "d", "idx", "val").join(_greatest_near(rows, m), "cls", "left")
+        medoid = F.col("h").isNull() | (F.struct("d", "cls") > F.struct(F.col("h.d").alias("d"), F.col("h.b").alias("cls")))
+        own = staged(own.withColumn("medoid", medoid).select("comp", "cls", F.when(F.col("medoid"), F.col("d")).alias("d"), "idx", "val"), "medoids")
+        heads = own.filter("d IS NOT NULL").select("cls", F.col("cls").alias("comp"))
+        joined = _greatest_near(own, m).join(heads.select("cls"), "cls", "left_anti").select("cls", F.col("h.b").alias("comp"))
+        now = cut(heads.union(joined))
         done = now if done is None else done.union(now)
-        left = cut(left.join(now, "cls", "left_anti"))
+        left = staged(left.join(now.select("cls"), "cls", "left_anti"), "left")
     return done if done is not None else loose.select("cls", "comp").limit(0)
 
 
@@ -238,7 +267,7 @@ def similarity_clusters(records: DataFrame, m: Measure) -> tuple[DataFrame, Data
     `records` has (key, cls, tokens array<bigint> ascending, idx, val); records of one `cls` are copies. Copies are collapsed; MinHash
     banding of the token sets gives candidate pairs, exact Jaccard similarity and the measure verify them, loosely
     similar classes form connected components, whose every pair is then compared in blocks. A component in which all
-    are strictly similar is a cluster as it is (`whole`); others are divided around highest-degree medoids.
+    are strictly similar is a cluster as it is (`whole`); others are divided around highest-degree medoids, all their pairs compared.
 
     members: (key, cluster, whole). groups: (cluster, size, whole, typical): the three keys nearest to all others.
     Records without tokens and those similar to no other are clusters of their own copies. Null keys must not occur
@@ -253,12 +282,16 @@ def similarity_clusters(records: DataFrame, m: Measure) -> tuple[DataFrame, Data
     totals = degrees.groupBy("comp").agg(F.sum("weight").alias("size"), F.min("similar").alias("least"))
     state = staged(degrees.join(totals, "comp").withColumn("whole", F.col("least") == F.col("size")), "state")
     tight = state.filter("whole").select("cls", "comp")
-    split = _split(state.filter("NOT whole"), links)
+    apart = staged(state.filter("NOT whole").select("comp", "cls", "weight").join(sets.select("cls", "idx", "val"), "cls"), "apart")
+    split = staged(_split(apart, m), "split")
+    # members are typical of the cluster they are in, not of the component it was part of
+    inner = exact_degrees(apart.drop("comp").join(split, "cls"), m)
+    closeness = state.filter("whole").select("cls", "closeness").union(inner.select("cls", "closeness"))
     again = tight.withColumn("whole", F.lit(True)).union(split.withColumn("whole", F.lit(False)))
     again = staged(again.join(sets.select("cls", "weight", "key"), "cls"), "clusters")
     names = again.groupBy("comp").agg(F.min("key").alias("cluster"), F.sum("weight").alias("size"), F.first("whole").alias("whole"))
     members = records.select("key", "cls").join(again.select("cls", "comp", "whole"), "cls").join(names.select("comp", "cluster"), "comp").select("key", "cluster", "whole")
-    typical = again.join(degrees.select("cls", "closeness"), "cls")
+    typical = again.join(closeness, "cls")
     salt = F.pmod(F.xxhash64("cls"), F.lit(32))
     order = [F.desc("closeness"), F.col("key")]
     typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("comp", salt).orderBy(*order))).filter("r <= 3")

@@ -177,6 +177,36 @@ def test_loose_chain_is_split_around_medoids(spark):
     assert groups.agg(F.sum("size")).first()[0] == 12
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_a_dense_component_is_split_by_all_its_pairs(spark, monkeypatch, block):
+    """Candidates hold few of a dense component's pairs; medoids, members and typical ones go by all of them."""
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    xs = sorted(set(np.random.default_rng(12).uniform(0, 4, 300).round(3).tolist()))
+    r = points(spark, [(f"k{i:03d}", x) for i, x in enumerate(xs)]).select("key", "cls", "tokens", "idx", "val")
+    cls = {x["key"]: x["cls"] for x in r.select("key", "cls").collect()}
+    keys = [f"k{i:03d}" for i in range(len(xs))]
+    far = np.abs(np.subtract.outer(xs, xs))
+    left, want = set(range(len(xs))), {}
+    while left:
+        rank = {i: (sum(far[i, j] <= 1 + 1e-9 for j in left), cls[keys[i]]) for i in left}
+        near = {i: [j for j in left if j != i and far[i, j] <= 1 + 1e-9] for i in left}
+        heads = {i for i in left if all(rank[i] > rank[j] for j in near[i])}
+        for i in list(left):
+            at = [i] if i in heads else [j for j in near[i] if j in heads]
+            if at:
+                want.setdefault(max(at, key=rank.get), set()).add(i)
+        left -= set().union(*want.values())
+    members, groups = clusters.similarity_clusters(r, LINE)
+    by = {}
+    for x in members.collect():
+        by.setdefault(x["cluster"], set()).add(int(x["key"][1:]))
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
+    for g in groups.collect():
+        inside = sorted(by[g["cluster"]])
+        total = {i: sum(far[i, j] for j in inside) for i in inside}
+        assert [total[int(k[1:])] for k in g["typical"]] == pytest.approx(sorted(total.values())[:3])
+
+
 def test_blocks_give_the_same_degrees(spark, monkeypatch):
     rng = np.random.default_rng(4)
     xs = rng.uniform(0, 1.5, 60).round(2)
