@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, staged
+from .components import connected_components
 from .vectors import csr, dots, whole_groups
 
 #: Hash rows of a band, members of a bucket compared with each newcomer, bucket size from which it is split, block of
@@ -140,24 +141,6 @@ def verified_links(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     return near.join(ta, "a").join(tb, "b").select("a", "b", "strict", "atokens", "btokens").mapInArrow(shared, schema)
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(cls, comp) of every end of a link: the least id of its component.
-
-    Each round takes the least label among neighbours and then the label's own label, so that paths shorten by halves.
-    """
-    both = staged(links.select("a", "b").union(links.select("b", "a")), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "v"))
-    while True:
-        least = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("n"))
-        step = labels.join(least, labels.v == least.a).select("v", F.col("l").alias("old"), F.least("l", "n").alias("l"))
-        jump = step.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        after = cut(step.join(jump, "l").select("v", "old", F.least("l", "far").alias("l")))
-        changed = not after.filter(F.col("old") != F.col("l")).isEmpty()
-        labels = after.select("v", "l")
-        if not changed:
-            return labels.select(F.col("v").alias("cls"), F.col("l").alias("comp"))
-
-
 def _block_pairs(rows: DataFrame, m: Measure, columns: list[str], each: Callable, schema: str) -> DataFrame:
     """What `each` gives for pairs of blocks of (comp, cls, idx, val, *columns), so that every pair of a component is compared.
 

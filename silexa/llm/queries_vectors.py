@@ -1,7 +1,7 @@
 """Queries of problems 1 and 7."""
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +15,13 @@ SIDES = {"fs": ("labeled_points", "point_id", "fs_idx", "fs_val"), "u_fs": ("svd
 
 
 def _neighbours(spark: SparkSession, d: str, complete: bool) -> DataFrame:
-    def one(side: str, name: str, key: str, idx: str, val: str) -> DataFrame:
-        near = most_similar(table(spark, d, name), key, idx, val, k=10, min_cosine=0.94, complete=complete)
-        return near.select(F.lit(side).alias("side"), F.col(key).alias("key"), "other", "cosine", "rank")
-
-    return reduce(DataFrame.unionByName, together(*[partial(one, side, *x) for side, x in SIDES.items()]))
+    each = [table(spark, d, name).select(F.lit(side).alias("side"), F.col(key).alias("key"), F.col(idx).alias("idx"), F.col(val).alias("val")) for side, (name, key, idx, val) in SIDES.items()]
+    return most_similar(reduce(DataFrame.unionByName, each), "key", "idx", "val", k=10, min_cosine=0.94, complete=complete, space="side")
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ids of the ten most similar vectors of every vector of the three collections, however similar they are."""
-    return _neighbours(spark, d, complete=True)
+    return _neighbours(spark, d, complete=True).withColumn("cosine", F.round("cosine", 6))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,4 +107,9 @@ SQL = {
     "p1_found": _VECTORS + """, r AS (SELECT side, a, b, row_number() OVER (PARTITION BY side, a ORDER BY c DESC, b) AS k FROM c WHERE c >= 0.94)
 SELECT DISTINCT side, least(a, b) AS key_a, greatest(a, b) AS key_b FROM r WHERE k <= 10""",
     "p7_found": _VECTORS + _GROUPS.replace("WITH t AS", ", t AS", 1) + "SELECT src, unnest(members) AS member_id, list_min(members) AS cluster_id FROM w",
+    # every pair of a side, also those without a common index
+    "p1_neighbours": _VECTORS + """, k AS (SELECT DISTINCT side, key FROM u),
+r AS (SELECT x.side, x.key, y.key AS other, coalesce(c.c, 0) AS c, row_number() OVER (PARTITION BY x.side, x.key ORDER BY coalesce(c.c, 0) DESC, y.key) AS rank
+  FROM k x JOIN k y ON x.side = y.side AND x.key <> y.key LEFT JOIN c ON c.side = x.side AND c.a = x.key AND c.b = y.key)
+SELECT side, key, other, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
 }

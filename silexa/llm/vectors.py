@@ -10,56 +10,62 @@ from pyspark.sql import functions as F
 
 #: Unit vectors that agree to so many decimals are one class of copies.
 DECIMALS = 6
-
-
-def canonical(df: DataFrame, key: str, idx: str, val: str) -> DataFrame:
-    """(key, cls, idx, val): one unit vector per key, indices ascending, without zeros.
-
-    Entries of a null, NaN, infinite or zero value or a negative index are dropped, values of a repeated index are
-    added, the longer of two arrays of different lengths is cut. Keys with null, empty or zero vectors only, and null
-    keys, have no row. Of several forms of a key's vector that differ after this, the longest counts (ties by hash).
-    `cls` is the content's hash: equal for copies and for vectors of the same direction.
+#: Decimals of a cosine.
+DIGITS = 9
+
+
+def _unit(i: pa.ListArray, v: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of index and value lists: the rows that have a vector, its row starts, indices and unit values."""
+    li, lv = (x.value_lengths().fill_null(0).to_numpy().astype(np.int64) for x in (i, v))
+    n = np.minimum(li, lv)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = (z.flatten().to_numpy(zero_copy_only=False).astype(float)[np.repeat(np.cumsum(k) - k, n) + place] for z, k in ((i, li), (v, lv)))
+    ok = np.isfinite(y) & (y != 0) & np.isfinite(x) & (x >= 0)
+    row, x, y = row[ok], x[ok].astype(np.int64), y[ok]
+    by = np.lexsort((x, row))
+    row, x, y = row[by], x[by], y[by]
+    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(x) != 0)][: len(row)])
+    if len(first):
+        row, x, y = row[first], x[first], np.add.reduceat(y, first)
+    row, x, y = row[y != 0], x[y != 0], y[y != 0]
+    rows, starts = np.unique(row, return_index=True)
+    offsets = np.r_[starts, len(row)]
+    if len(rows):
+        y = y / np.repeat(np.maximum.reduceat(np.abs(y), starts), np.diff(offsets))
+        y = y / np.sqrt(np.repeat(np.add.reduceat(y * y, starts), np.diff(offsets)))
+    return rows, offsets, x, y
+
+
+def canonical(df: DataFrame, key: str, idx: str, val: str, space: str | None = None) -> DataFrame:
+    """(space, key, cls, idx, val): one unit vector per space and key, indices ascending, without zeros.
+
+    Vectors of several spaces never meet; without a `space` column there is one space. Entries of a null, NaN, infinite
+    or zero value or a negative index are dropped, values of a repeated index are added, the longer of two arrays of
+    different lengths is cut. Keys with null, empty or zero vectors only, and rows of a null key or space, have no row.
+    Of several forms of a key's vector that differ after this, the longest counts (ties by hash). `cls` is the hash of
+    space and content: equal for copies and for vectors of the same direction.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ii, vv = [], [], []
-            for k, i, v in zip(b.column("key"), b.column("i"), b.column("v")):
-                if not (i.is_valid and v.is_valid):
-                    continue
-                x = i.values.to_numpy(zero_copy_only=False).astype(float)
-                y = v.values.to_numpy(zero_copy_only=False).astype(float)
-                n = min(len(x), len(y))
-                x, y = x[:n], y[:n]
-                ok = np.isfinite(y) & (y != 0) & np.isfinite(x) & (x >= 0)
-                x, at = np.unique(x[ok].astype(np.int64), return_inverse=True)
-                y = np.bincount(at, weights=y[ok], minlength=len(x)) if len(x) else y[ok]
-                x, y = x[y != 0], y[y != 0]
-                top = np.abs(y).max() if len(y) else 0.0
-                if top > 0:
-                    y = y / top
-                    keys.append(k.as_py())
-                    ii.append(x)
-                    vv.append(y / np.sqrt(y @ y))
-            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ii])].astype(np.int32))
-            flat = [np.concatenate(z) if z else np.zeros(0) for z in (ii, vv)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, b.column("key").type), pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(flat[1]))],
-                ["key", "idx", "val"],
-            )
-
-    kind = dict(df.dtypes)[key]
-    rows = df.filter(F.col(key).isNotNull() & F.col(idx).isNotNull() & F.col(val).isNotNull()).select(F.col(key).alias("key"), F.col(idx).alias("i"), F.col(val).alias("v"))
-    rows = rows.mapInArrow(run, f"key {kind}, idx array<bigint>, val array<double>")
-    cls = F.xxhash64("idx", F.transform("val", lambda x: F.round(x * 10**DECIMALS).cast("long")))
+            rows, offsets, x, y = _unit(b.column("i"), b.column("v"))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(z)) for z in (x, y)]
+            yield pa.RecordBatch.from_arrays([b.column("space").take(pa.array(rows)), b.column("key").take(pa.array(rows)), *lists], ["space", "key", "idx", "val"])
+
+    kind = dict(df.dtypes)
+    of = F.col(space) if space else F.lit("")
+    rows = df.filter(F.col(key).isNotNull() & of.isNotNull() & F.col(idx).isNotNull() & F.col(val).isNotNull()).select(of.alias("space"), F.col(key).alias("key"), F.col(idx).alias("i"), F.col(val).alias("v"))
+    rows = rows.mapInArrow(run, f"space {kind[space] if space else 'string'}, key {kind[key]}, idx array<bigint>, val array<double>")
+    cls = F.xxhash64("space", "idx", F.transform("val", lambda x: F.round(x * 10**DECIMALS).cast("long")))
     rows = rows.withColumn("cls", cls)
-    best = rows.groupBy("key").agg(F.max_by(F.struct("cls", "idx", "val"), F.struct(F.size("idx"), "cls")).alias("x"))
-    return best.select("key", "x.cls", "x.idx", "x.val")
+    best = rows.groupBy("space", "key").agg(F.max_by(F.struct("cls", "idx", "val"), F.struct(F.size("idx"), "cls")).alias("x"))
+    return best.select("space", "key", "x.cls", "x.idx", "x.val")
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(cls, idx, val): one row per class of equal vectors."""
-    return vectors.groupBy("cls").agg(F.first(F.struct("idx", "val")).alias("x")).select("cls", "x.idx", "x.val")
+    """(space, cls, idx, val): one row per class of equal vectors."""
+    return vectors.groupBy("cls").agg(F.first(F.struct("space", "idx", "val")).alias("x")).select("x.space", "cls", "x.idx", "x.val")
 
 
 def csr(idx: pa.ListArray, val: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,14 +89,14 @@ def dots(a: tuple, b: tuple) -> np.ndarray:
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, cosine) of pairs (a, b) of class ids."""
+    """(a, b, cosine) of pairs (a, b) of class ids; cosines are rounded to DIGITS decimals, so that equal ones are ties."""
     va = vectors.select(F.col("cls").alias("a"), F.col("idx").alias("ai"), F.col("val").alias("av"))
     vb = vectors.select(F.col("cls").alias("b"), F.col("idx").alias("bi"), F.col("val").alias("bv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             cos = dots(csr(x.column("ai"), x.column("av")), csr(x.column("bi"), x.column("bv"))) if x.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(cos)], ["a", "b", "cosine"])
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(np.round(cos, DIGITS))], ["a", "b", "cosine"])
 
     return pairs.join(va, "a").join(vb, "b").select("a", "b", "ai", "av", "bi", "bv").mapInArrow(run, "a bigint, b bigint, cosine double")
 
