@@ -12,133 +12,228 @@ from pyspark.sql import functions as F
 
 from ..session import cut, staged
 from .components import connected_components
-from .vectors import csr, dots, whole_groups
+from .vectors import DIGITS, csr, dots, whole_chunks, whole_groups
 
-#: Hash rows of a band, members of a bucket compared with each newcomer, bucket size from which it is split, block of
-#: exact comparison, and seed; columns that are dense at a time.
-ROWS, BEFORE, SPLIT, BLOCK, SEED = 2, 4, 2000, 512, 7_340_033
-COLUMNS = 4096
+#: Hash rows of a band, bands of the first pass, block of exact comparison, bucket size up to which all its similar pairs
+#: are links, and seed; columns that are dense, and pairs that are compared, at a time.
+ROWS, FIRST, BLOCK, FEW, SEED = 2, 8, 1024, 16, 7_340_033
+COLUMNS, PAIRS = 4096, 1 << 16
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    return ((_mix(x) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
 @dataclass(frozen=True)
 class Measure:
-    """How two records are compared exactly: `cosine` similarity, or `euclid` distance, with two bounds.
+    """How two records (space, vector) are compared exactly: `cosine` similarity, or `euclid` distance, with two bounds.
 
-    Records are similar within `strict`, and belong to one component within `loose`. `indices` tells that a record's
-    tokens are the indices of its vector, so that they needn't be fetched apart.
+    Records are similar within `strict`, and belong to one component within `loose`. `jaccard` is the similarity of token sets from which
+    on candidates are retrieved.
+
+    - `cosine`: a record's tokens are its indices (with sign), weighted by their squared values, which sum to 1. Two vectors of cosine c that
+      have the same values on what they share have a weighted Jaccard similarity of c / (2 - c); none has less than `floor`.
+    - `euclid`: vectors list all their few dimensions; the tokens are the cells, `cell` wide, of the square of `reach` cells on each side of the record, in its space.
     """
 
     kind: str
     strict: float
     loose: float
     jaccard: float
-    indices: bool = False
+    cell: float = 0.0
+    reach: int = 0
 
     def within(self, x: np.ndarray, bound: float) -> np.ndarray:
         return x >= bound - 1e-9 if self.kind == "cosine" else x <= bound + 1e-9
 
+    @property
+    def floor(self) -> float:
+        """The least Jaccard similarity that loosely similar records can have: 1 - sum of min(a^2, b^2) is half the sum of |a^2 - b^2|,
+        so at most sqrt(1 - c^2) by Cauchy and Schwarz."""
+        if self.kind == "euclid":
+            return self.jaccard
+        r = math.sqrt(max(0.0, 1 - self.loose**2))
+        return (1 - r) / (1 + r)
+
+    def similarity(self, a: tuple, b: tuple) -> np.ndarray:
+        """Row-wise cosines or distances of two batches of vectors."""
+        if self.kind == "cosine":
+            return dots(a, b)
+        n = len(a[0]) - 1
+        return np.sqrt(((a[2].reshape(n, -1) - b[2].reshape(n, -1)) ** 2).sum(1)) if n else np.zeros(0)
+
+    def token_jaccard(self, a: tuple, b: tuple, same_space: np.ndarray) -> np.ndarray:
+        """Row-wise exact Jaccard similarity of the token sets of two batches."""
+        if self.kind == "euclid":
+            side, n = 2 * self.reach, len(a[0]) - 1
+            shift = [np.abs(np.rint(x / self.cell) - np.rint(y / self.cell)).reshape(n, -1) for x, y in [(a[2], b[2])]][0]
+            common, whole = np.maximum(side - shift, 0).prod(1), float(side) ** shift.shape[1]
+        else:
+            signed = [(o, 2 * i + (v < 0), v**2) for o, i, v in (a, b)]
+            common = dots(*signed, each=np.minimum)
+            whole = 1.0
+        return np.where(same_space, common / (2 * whole - common), 0.0)
+
+    def minima(self, space: np.ndarray, vectors: tuple, seeds: np.ndarray) -> np.ndarray:
+        """(seeds x records): the MinHash of every record's tokens; for weighted tokens by consistent weighted sampling."""
+        offsets, idx, val = vectors
+        n, starts = len(offsets) - 1, offsets[:-1]
+        with np.errstate(over="ignore"):
+            if self.kind == "euclid":
+                span = np.arange(-self.reach, self.reach, dtype=np.int64)
+                cells = np.rint(val / self.cell).astype(np.int64).reshape(n, -1)
+                base = _mix(space.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))[:, None]
+                for d in range(cells.shape[1]):
+                    base = _mix(base[:, :, None] * np.uint64(31) + (cells[:, d, None] + span).astype(np.uint64)[:, None, :]).reshape(n, -1)
+                return np.stack([_mix(base ^ s).min(1) for s in seeds])
+            names, at = np.unique(2 * idx + (val < 0), return_inverse=True)
+            token = _mix(names.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            log_w, row, out = np.log(val**2), np.repeat(np.arange(n), np.diff(offsets)), []
+            for s in seeds:
+                u = [_uniform(token ^ (s * np.uint64(2 * j + 3))) for j in range(5)]
+                r, c, beta = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+                t = np.floor(log_w / r[at] + beta[at])
+                a = c[at] - r[at] * (t - beta[at] + 1)
+                least = a == np.minimum.reduceat(a, starts)[row]
+                h = _mix(token[at] + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s)
+                out.append(np.minimum.reduceat(np.where(least, h, np.uint64(2**64 - 1)), starts))
+            return np.stack(out)
+
 
 def bands_for(jaccard: float, miss: float = 0.002) -> int:
     """Bands after which a pair at the least Jaccard similarity is missed with a probability of at most `miss`."""
     return math.ceil(math.log(miss) / math.log(1 - jaccard**ROWS))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def band_rows(sets: DataFrame, bands: int) -> DataFrame:
-    """(cls, band, bucket, near) of every class: `near` is a further minimum, by which similar members sort together."""
+def band_rows(sets: DataFrame, m: Measure, first: int, last: int) -> DataFrame:
+    """(cls, label, bucket) of every class for the bands from `first` to before `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = np.random.default_rng(SEED).integers(1, 2**63, bands * ROWS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+        seeds = np.random.default_rng(SEED).integers(1, 2**63, last * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            lengths = b.column("tokens").value_lengths().to_numpy()
-            base = _mix(b.column("tokens").flatten().to_numpy().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            starts = np.r_[0, np.cumsum(lengths)[:-1]]
             if not b.num_rows:
                 continue
+            least = m.minima(b.column("space").to_numpy(), csr(b.column("idx"), b.column("val")), seeds[first * ROWS :])
             with np.errstate(over="ignore"):
-                least = np.stack([np.minimum.reduceat(_mix(base ^ s), starts) for s in seeds])
-                key = least[0 : bands * ROWS : ROWS].copy()
-                for r in range(1, ROWS):
-                    key = _mix(key) + least[r : bands * ROWS : ROWS]
-            n = b.num_rows
-            near = np.roll(least[:-1:ROWS], 1, axis=0) ^ least[-1]  # the next band's first row, mixed with one of its own
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(b.column("cls").to_numpy(), bands)), pa.array(np.repeat(np.arange(bands, dtype=np.int32), n)), pa.array(key.ravel().view(np.int64)), pa.array(near.ravel().view(np.int64))],
-                ["cls", "band", "bucket", "near"],
-            )
-
-    return sets.filter(F.size("tokens") > 0).select("cls", "tokens").mapInArrow(run, "cls bigint, band int, bucket bigint, near bigint")
-
-
-def candidate_pairs(sets: DataFrame, bands: int) -> DataFrame:
-    """(a, b), a < b: pairs that share a bucket of some band.
-
-    In a bucket a member is paired with the bucket's hub and with the BEFORE members that precede it in the order of a
-    further minimum. That is all pairs of a small bucket; a large one stays linear, and its similar members stay
-    connected through the hub and through neighbours, other ones in each band. Buckets above SPLIT are sorted in
-    parts by the further minimum.
+                key = np.zeros((last - first, b.num_rows), np.uint64) + np.arange(first, last, dtype=np.uint64)[:, None]
+                for r in range(ROWS):
+                    key = _mix(key) + least[r::ROWS]
+            tile = pa.array(np.tile(np.arange(b.num_rows), last - first))
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(tile), b.column("label").take(tile), pa.array(key.ravel().view(np.int64))], ["cls", "label", "bucket"])
+
+    return sets.select("cls", "label", "space", "idx", "val").mapInArrow(run, "cls bigint, label bigint, bucket bigint")
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a graph, from its matrix."""
+    fresh = np.ones(len(near), bool)
+    edges: list[tuple] = []
+    for s in range(len(near)):
+        if not fresh[s]:
+            continue
+        fresh[s] = False
+        front = np.array([s])
+        while len(front):
+            reached = near[front] & fresh
+            new = np.flatnonzero(reached.any(0))
+            edges.append((front[reached[:, new].argmax(0)], new))
+            fresh[new] = False
+            front = new
+    return tuple(np.concatenate(e) for e in zip(*edges))
+
+
+def verified_links(rows: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
+    """(a, b), labels: links that join all loosely similar records of different labels that share a bucket.
+
+    Every pair of a bucket is compared exactly, in blocks if it is large; but while a small bucket gives all its similar pairs, a
+    larger one gives a spanning forest of them, so that links stay linear in its size and join the same records. The exact
+    Jaccard similarity of a link's token sets must reach the measure's floor. Buckets of one label need nothing.
     """
-    rows = staged(band_rows(sets, bands), "bands")
-    big = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter(F.col("n") > SPLIT)
-    rows = rows.join(big, ["band", "bucket"], "left").withColumn("part", F.when(F.col("n").isNotNull(), F.pmod("near", F.ceil(F.col("n") / SPLIT))).otherwise(0))
-    w = Window.partitionBy("band", "bucket", "part").orderBy("near", "cls")
-    others = F.array(F.coalesce("hub", F.first("cls").over(w)), *[F.lag("cls", k).over(w) for k in range(1, BEFORE + 1)])
-    pairs = rows.select("cls", others.alias("o")).select("cls", F.explode(F.array_distinct("o")).alias("o")).filter(F.col("o").isNotNull() & (F.col("o") != F.col("cls")))
-    return pairs.select(F.least("cls", "o").alias("a"), F.greatest("cls", "o").alias("b")).distinct()
-
-
-def _jaccard(a: tuple, b: tuple) -> np.ndarray:
-    """Row-wise Jaccard similarity of two batches of token sets."""
-    # tokens may be any numbers: small codes of the same order stand for them
-    code = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)[1]
-    common = dots((a[0], code[: len(a[1])], np.ones(len(a[1]))), (b[0], code[len(a[1]) :], np.ones(len(b[1]))))
-    return common / np.maximum(np.diff(a[0]) + np.diff(b[0]) - common, 1)
-
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    rows = rows.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "bucket")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("bucket", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "label").join(sets.select("cls", "space", "idx", "val"), "cls")
+
+    def similar(g: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        label, space = g.column("label").to_numpy(), g.column("space").to_numpy()
+        differ = label[i] != label[j]
+        i, j = i[differ], j[differ]
+        out = []
+        for lo in range(0, len(i), PAIRS):
+            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            a, b = (csr(g.column("idx").take(pa.array(e)), g.column("val").take(pa.array(e))) for e in (p, q))
+            ok = m.within(m.similarity(a, b), m.loose) & (m.token_jaccard(a, b, space[p] == space[q]) >= m.floor - 1e-9)
+            out.append(np.sort(np.stack([label[p[ok]], label[q[ok]]], 1), 1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-def verified_links(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
-    """(a, b, strict): candidate pairs whose exact Jaccard similarity reaches the bound, and that are loosely similar.
-
-    The measure comes first, as it needs less of a record where tokens are many; the sets follow for what is left.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_chunks(batches, ["bucket", "x", "y"]):
+            keys = np.stack([g.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            starts = np.r_[0, np.flatnonzero((np.diff(keys) != 0).any(0)) + 1]
+            n = np.diff(np.r_[starts, g.num_rows])
+            few = (n <= FEW) & (keys[1, starts] == keys[2, starts])
+            left = np.repeat(np.where(few, starts + n, 0), n) - np.arange(g.num_rows) - 1  # partners after each row
+            left = np.maximum(left, 0)
+            i = np.repeat(np.arange(g.num_rows), left)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+            yield similar(g, i, j)
+            for s, size in zip(starts[~few], n[~few]):
+                one = g.slice(s, size)
+                label, k = one.column("label").to_numpy(), one.column("k").to_numpy()
+                how = _all_pairs(one, np.arange(size), np.arange(size), m) if keys[1, s] == keys[2, s] else None
+                if how is None:  # only pairs between the two blocks
+                    x, y = np.flatnonzero(k == keys[1, s]), np.flatnonzero(k == keys[2, s])
+                    near = np.zeros((size, size), bool)
+                    near[np.ix_(x, y)] = m.within(_all_pairs(one, x, y, m), m.loose)
+                    near |= near.T
+                else:
+                    near = m.within(how, m.loose)
+                yield similar(one, *_forest(near | (label[:, None] == label[None])))
+
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def components_of(sets: DataFrame, m: Measure) -> DataFrame:
+    """(cls, comp) of every class: the components of loosely similar ones.
+
+    The first bands join most of what belongs together; for the rest only buckets that still hold several components are compared.
     """
-
-    def ends(*columns: str) -> list[DataFrame]:
-        return [sets.select(F.col("cls").alias(s), *[F.col(c).alias(s + c) for c in columns]) for s in "ab"]
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            a, b = (csr(x.column(s + "idx"), x.column(s + "val")) for s in "ab")
-            how = dots(a, b)
-            if m.kind == "euclid":
-                norm = [np.bincount(np.repeat(np.arange(x.num_rows), np.diff(p[0])), weights=p[2] ** 2, minlength=x.num_rows) for p in (a, b)]
-                how = np.sqrt(np.maximum(norm[0] + norm[1] - 2 * how, 0))
-            ok = m.within(how, m.loose)
-            if m.indices:
-                ok &= _jaccard(a, b) >= m.jaccard
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep), pa.array(m.within(how, m.strict)[ok])], ["a", "b", "strict"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            keep = pa.array(_jaccard(*[csr(x.column(s + "tokens"), x.column(s + "tokens")) for s in "ab"]) >= m.jaccard)
-            yield pa.RecordBatch.from_arrays([x.column(c).filter(keep) for c in ("a", "b", "strict")], ["a", "b", "strict"])
-
-    schema = "a bigint, b bigint, strict boolean"
-    va, vb = ends("idx", "val")
-    near = pairs.join(va, "a").join(vb, "b").mapInArrow(measured, schema)
-    if m.indices:
-        return near
-    ta, tb = ends("tokens")
-    return near.join(ta, "a").join(tb, "b").select("a", "b", "strict", "atokens", "btokens").mapInArrow(shared, schema)
+    own = sets.withColumn("label", F.col("cls"))
+    bands = bands_for(m.jaccard)
+    first = connected_components(staged(verified_links(staged(band_rows(own, m, 0, min(FIRST, bands)), "bands"), sets, m), "links"))
+    labels = staged(sets.select("cls").join(first, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("label")), "labels")
+    if bands <= FIRST:
+        return labels.withColumnRenamed("label", "comp")
+    more = staged(verified_links(staged(band_rows(sets.join(labels, "cls"), m, FIRST, bands), "bands"), sets, m), "links")
+    if more.isEmpty():
+        return labels.withColumnRenamed("label", "comp")
+    second = connected_components(more).withColumnRenamed("cls", "label")
+    return labels.join(second, "label", "left").select("cls", F.coalesce("comp", "label").alias("comp"))
+
+
+def _all_pairs(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, m: Measure) -> np.ndarray:
+    """Cosines or distances of the rows `left` with the rows `right`."""
+    offsets, idx, val = csr(g.column("idx"), g.column("val"))
+    if m.kind == "euclid":
+        x = val.reshape(g.num_rows, -1)
+        return np.sqrt(sum(np.subtract.outer(c[left], c[right]) ** 2 for c in x.T))
+    names, at = np.unique(idx, return_inverse=True)
+    row = np.repeat(np.arange(g.num_rows), np.diff(offsets))
+    how = np.zeros((len(left), len(right)))
+    for lo in range(0, len(names), COLUMNS):  # dense in some columns at a time
+        some = (at >= lo) & (at < lo + COLUMNS)
+        dense = np.zeros((g.num_rows, min(COLUMNS, len(names) - lo)))
+        dense[row[some], at[some] - lo] = val[some]
+        how += dense[left] @ dense[right].T
+    return how
 
 
 def _block_pairs(rows: DataFrame, m: Measure, columns: list[str], each: Callable, schema: str) -> DataFrame:
@@ -153,21 +248,9 @@ def _block_pairs(rows: DataFrame, m: Measure, columns: list[str], each: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, ["comp", "x", "y"]):
-            offsets, idx, val = csr(g.column("idx"), g.column("val"))
-            names, at = np.unique(idx, return_inverse=True)
-            row = np.repeat(np.arange(g.num_rows), np.diff(offsets))
-            k = g.column("k").to_numpy()
-            x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
+            k, x, y = g.column("k").to_numpy(), g.column("x")[0].as_py(), g.column("y")[0].as_py()
             left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
-            how = np.zeros((len(left), len(right)))
-            for lo in range(0, len(names), COLUMNS):  # dense in some columns at a time
-                some = (at >= lo) & (at < lo + COLUMNS)
-                dense = np.zeros((g.num_rows, min(COLUMNS, len(names) - lo)))
-                dense[row[some], at[some] - lo] = val[some]
-                how += dense[left] @ dense[right].T
-            if m.kind == "euclid":
-                sq = np.bincount(row, weights=val**2, minlength=g.num_rows)
-                how = np.sqrt(np.maximum(sq[left][:, None] + sq[right][None] - 2 * how, 0))
+            how = _all_pairs(g, left, right, m)
             yield from each(g, left, right, how, x == y)
 
     return rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, schema)
@@ -247,20 +330,19 @@ def _split(loose: DataFrame, m: Measure) -> DataFrame:
 def similarity_clusters(records: DataFrame, m: Measure) -> tuple[DataFrame, DataFrame]:
     """Clusters of mutually similar records: (members, groups).
 
-    `records` has (key, cls, tokens array<bigint> ascending, idx, val); records of one `cls` are copies. Copies are collapsed; MinHash
-    banding of the token sets gives candidate pairs, exact Jaccard similarity and the measure verify them, loosely
+    `records` has (key, space bigint, cls, idx, val); records of one `cls` are copies, those of different spaces are never similar. Copies
+    are collapsed; MinHash banding of the token sets gives candidates, the measure and the exact Jaccard similarity verify them, loosely
     similar classes form connected components, whose every pair is then compared in blocks. A component in which all
     are strictly similar is a cluster as it is (`whole`); others are divided around highest-degree medoids, all their pairs compared.
 
-    members: (key, cluster, whole). groups: (cluster, size, whole, typical): the three keys nearest to all others.
-    Records without tokens and those similar to no other are clusters of their own copies. Null keys must not occur
+    members: (key, cluster, whole). groups: (cluster, size, whole, typical): the three keys nearest to all others, of copies only the least.
+    Records similar to no other are clusters of their own copies. Null keys and empty vectors must not occur
     (the callers filter them); an empty table gives empty results.
     """
-    records = staged(records.select("key", "cls", "tokens", "idx", "val"), "records")
-    sets = staged(records.groupBy("cls").agg(F.first(F.struct("tokens", "idx", "val")).alias("x"), F.count("*").alias("weight"), F.min("key").alias("key")).select("cls", "x.*", "weight", "key"), "sets")
-    links = staged(verified_links(candidate_pairs(sets, bands_for(m.jaccard)), sets, m), "links")
-    comps = connected_components(links)
-    parts = sets.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    records = staged(records.select("key", "space", "cls", "idx", "val"), "records")
+    sets = staged(records.groupBy("cls").agg(F.first(F.struct("space", "idx", "val")).alias("x"), F.count("*").alias("weight"), F.min("key").alias("key")).select("cls", "x.*", "weight", "key"), "sets")
+    comps = components_of(sets, m)
+    parts = sets.join(comps, "cls")
     degrees = staged(exact_degrees(parts.select("comp", "cls", "weight", "idx", "val"), m), "degrees")
     totals = degrees.groupBy("comp").agg(F.sum("weight").alias("size"), F.min("similar").alias("least"))
     state = staged(degrees.join(totals, "comp").withColumn("whole", F.col("least") == F.col("size")), "state")
@@ -276,7 +358,7 @@ def similarity_clusters(records: DataFrame, m: Measure) -> tuple[DataFrame, Data
     members = records.select("key", "cls").join(again.select("cls", "comp", "whole"), "cls").join(names.select("comp", "cluster"), "comp").select("key", "cluster", "whole")
     typical = again.join(closeness, "cls")
     salt = F.pmod(F.xxhash64("cls"), F.lit(32))
-    order = [F.desc("closeness"), F.col("key")]
+    order = [F.desc(F.round("closeness", DIGITS)), F.col("key")]
     typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("comp", salt).orderBy(*order))).filter("r <= 3")
     typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).filter("r <= 3")
     typical = typical.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]).alias("typical"))

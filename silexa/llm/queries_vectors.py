@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, together
+from ..session import table
 from .clusters import Measure, isolated, similarity_clusters
 from .neighbours import most_similar
 from .vectors import canonical
@@ -30,11 +30,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("side", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
-#: Any two flowers of a group lie at most 1.0 apart, all others more than 1.1; points by cosine.
-FLOWERS = Measure("euclid", strict=1.0, loose=1.1, jaccard=0.35)
-POINTS = Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3, indices=True)
-#: Side of a cell and cells on each side of a flower: its token set is the square of 8 x 8 cells around it.
-CELL, REACH = 0.5, 4
+#: Any two flowers of a group lie at most 1.0 apart, all others more than 1.1; points by cosine. Flowers within 1.1 share more than 0.37 of
+#: the squares of 8 x 8 cells around them.
+FLOWERS = Measure("euclid", strict=1.0, loose=1.1, jaccard=0.35, cell=0.5, reach=4)
+POINTS = Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3)
 
 
 def _flowers(spark: SparkSession, d: str) -> DataFrame:
@@ -46,23 +45,18 @@ def _flowers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flower_records(flowers: DataFrame) -> DataFrame:
-    cell = lambda c: F.round(F.col(c) / CELL).cast("long")
-    span = lambda c: F.sequence(cell(c) - REACH, cell(c) + REACH - 1)
-    tokens = F.flatten(F.transform(span("x"), lambda i: F.transform(span("y"), lambda j: F.xxhash64(F.col("bed"), i, j))))
-    return flowers.select(
-        "key", F.xxhash64("bed", "x", "y").alias("cls"), F.array_sort(tokens).alias("tokens"),
-        F.array(F.lit(0), F.lit(1)).cast("array<bigint>").alias("idx"), F.array("x", "y").alias("val"),
-    )
+    place = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
+    return flowers.select("key", F.xxhash64("bed").alias("space"), F.xxhash64("bed", "x", "y").alias("cls"), place.alias("idx"), F.array("x", "y").alias("val"))
 
 
 def _point_records(spark: SparkSession, d: str) -> DataFrame:
     v = canonical(table(spark, d, "labeled_points"), "point_id", "fs_idx", "fs_val")
-    return v.select("key", "cls", F.col("idx").alias("tokens"), "idx", "val")
+    return v.select("key", F.lit(0).cast("bigint").alias("space"), "cls", "idx", "val")
 
 
 def _both(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
     """Members and groups of flowers, and of points."""
-    return together(lambda: similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS), lambda: similarity_clusters(_point_records(spark, d), POINTS))
+    return [similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS), similarity_clusters(_point_records(spark, d), POINTS)]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +77,12 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return out[0].union(out[1])
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_groups": p7_groups}
+def p7_tight_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of every group whose records are all similar to each other."""
+    return p7_groups(spark, d).filter("whole").select("src", "cluster_id", "size", F.array_join("typical", " ").alias("typical"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_groups": p7_groups, "p7_tight_groups": p7_tight_groups}
 #: Unit entries (side, key, i, v) of the canonical vectors, and cosines of all pairs that share an index.
 _VECTORS = """
 WITH raw AS (SELECT 'fs' AS side, point_id AS key, fs_idx AS i, fs_val AS v FROM labeled_points
@@ -98,15 +97,20 @@ _GROUPS = """
 WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY flower_id ORDER BY loaded_at DESC) AS rn FROM iris_wheader)
   WHERE rn = 1 AND flower_id IS NOT NULL AND bed_id IS NOT NULL AND NOT isnan(coalesce(sepal_len, 'nan')) AND NOT isnan(coalesce(petal_len, 'nan'))),
 d AS (SELECT 'iris' AS src, a.flower_id AS a, b.flower_id AS b, sqrt(pow(a.sepal_len - b.sepal_len, 2) + pow(a.petal_len - b.petal_len, 2)) AS d FROM t a JOIN t b ON a.bed_id = b.bed_id),
-near AS (SELECT src, a, b, d <= 1.0 + 1e-9 AS strict FROM d WHERE d <= 1.1 + 1e-9 UNION ALL SELECT 'points', a, b, c >= 0.6 FROM c WHERE side = 'fs' AND c >= 0.5
-  UNION ALL SELECT DISTINCT 'points', key, key, true FROM u WHERE side = 'fs'),
+near AS (SELECT src, a, b, d <= 1.0 + 1e-9 AS strict, -d AS close FROM d WHERE d <= 1.1 + 1e-9 UNION ALL SELECT 'points', a, b, c >= 0.6, c FROM c WHERE side = 'fs' AND c >= 0.5
+  UNION ALL SELECT DISTINCT 'points', key, key, true, 1.0 FROM u WHERE side = 'fs'),
 g AS (SELECT src, a, list(b ORDER BY b) AS members, bool_and(strict) AS strict FROM near GROUP BY src, a),
-w AS (SELECT src, members FROM g WHERE len(members) >= 5 GROUP BY src, members HAVING count(*) = len(members) AND bool_and(strict))
+w AS (SELECT src, members FROM g GROUP BY src, members HAVING count(*) = len(members) AND bool_and(strict))
 """
 SQL = {
     "p1_found": _VECTORS + """, r AS (SELECT side, a, b, row_number() OVER (PARTITION BY side, a ORDER BY c DESC, b) AS k FROM c WHERE c >= 0.94)
 SELECT DISTINCT side, least(a, b) AS key_a, greatest(a, b) AS key_b FROM r WHERE k <= 10""",
-    "p7_found": _VECTORS + _GROUPS.replace("WITH t AS", ", t AS", 1) + "SELECT src, unnest(members) AS member_id, list_min(members) AS cluster_id FROM w",
+    "p7_found": _VECTORS + _GROUPS.replace("WITH t AS", ", t AS", 1) + "SELECT src, unnest(members) AS member_id, list_min(members) AS cluster_id FROM w WHERE len(members) >= 5",
+    "p7_tight_groups": _VECTORS + _GROUPS.replace("WITH t AS", ", t AS", 1) + """, r AS (SELECT 'iris' AS src, min(flower_id) AS a FROM t GROUP BY bed_id, sepal_len, petal_len
+  UNION ALL SELECT 'points', min(key) FROM (SELECT key, list((i, round(v, 6)) ORDER BY i) AS x FROM u WHERE side = 'fs' GROUP BY key) GROUP BY x),
+m AS (SELECT src, list_min(members) AS cluster_id, len(members) AS size, unnest(members) AS a FROM w),
+k AS (SELECT m.*, row_number() OVER (PARTITION BY m.src, cluster_id ORDER BY total DESC, m.a) AS k FROM m JOIN (SELECT src, a, round(sum(close), 9) AS total FROM near GROUP BY ALL) USING (src, a) JOIN r USING (src, a))
+SELECT src, cluster_id, any_value(size) AS size, string_agg(a, ' ' ORDER BY k) AS typical FROM k WHERE k <= 3 GROUP BY src, cluster_id""",
     # every pair of a side, also those without a common index
     "p1_neighbours": _VECTORS + """, k AS (SELECT DISTINCT side, key FROM u),
 r AS (SELECT x.side, x.key, y.key AS other, coalesce(c.c, 0) AS c, row_number() OVER (PARTITION BY x.side, x.key ORDER BY coalesce(c.c, 0) DESC, y.key) AS rank

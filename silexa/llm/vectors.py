@@ -1,7 +1,7 @@
 """Sparse vectors: one canonical form per key, and classes of equal vectors."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +74,8 @@ def csr(idx: pa.ListArray, val: pa.ListArray) -> tuple[np.ndarray, np.ndarray, n
     return offsets, idx.flatten().to_numpy(), val.flatten().to_numpy()
 
 
-def dots(a: tuple, b: tuple) -> np.ndarray:
-    """Row-wise dot products of two equally long batches of sparse vectors."""
+def dots(a: tuple, b: tuple, each: Callable = np.multiply) -> np.ndarray:
+    """Row-wise dot products of two equally long batches of sparse vectors; or sums of what `each` gives for their common entries."""
     (ao, ai, av), (bo, bi, bv) = a, b
     n = len(ao) - 1
     ra, rb = np.repeat(np.arange(n), np.diff(ao)), np.repeat(np.arange(n), np.diff(bo))
@@ -85,7 +85,7 @@ def dots(a: tuple, b: tuple) -> np.ndarray:
         return np.zeros(n)
     at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
     same = kb[at] == ka
-    return np.bincount(ra[same], weights=av[same] * bv[at[same]], minlength=n)
+    return np.bincount(ra[same], weights=each(av[same], bv[at[same]]), minlength=n)
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -119,3 +119,27 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
             last = now
     if held:
         yield pa.concat_batches(held)
+
+
+def whole_chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches again, which come sorted by `names`, such that none ends inside a group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(n).to_numpy() for n in names])
+        change = np.flatnonzero((np.diff(keys) != 0).any(0)) + 1
+        if held and any(held[-1].column(n)[-1].as_py() != b.column(n)[0].as_py() for n in names):
+            yield pa.concat_batches(held)
+            held = []
+        if held and len(change):
+            yield pa.concat_batches([*held, b.slice(0, change[0])])
+            held = []
+            b = b.slice(change[0])
+            change = change[1:] - change[0]
+        if not held and len(change):
+            yield b.slice(0, change[-1])
+            b = b.slice(change[-1])
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)

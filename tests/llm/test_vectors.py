@@ -157,14 +157,12 @@ def test_components(spark):
 
 
 def points(spark, groups):
-    """Records on a line: tokens are the unit cells around a position."""
-    data = [(k, x) for k, x in groups]
-    df = spark.createDataFrame(data, "key string, x double")
-    tokens = F.sequence((F.col("x") * 10).cast("bigint") + 1000, (F.col("x") * 10).cast("bigint") + 1030)
-    return df.select("key", F.xxhash64("x").alias("cls"), tokens.alias("tokens"), F.array(F.lit(0)).cast("array<bigint>").alias("idx"), F.array("x").alias("val"))
+    """Records on a line, in one space."""
+    df = spark.createDataFrame(groups, "key string, x double")
+    return df.select("key", F.lit(0).cast("bigint").alias("space"), F.xxhash64("x").alias("cls"), F.array(F.lit(0)).cast("array<bigint>").alias("idx"), F.array("x").alias("val"))
 
 
-LINE = clusters.Measure("euclid", strict=1.0, loose=1.1, jaccard=0.4)
+LINE = clusters.Measure("euclid", strict=1.0, loose=1.1, jaccard=0.4, cell=0.1, reach=15)
 
 
 def test_tight_groups_and_typical_members(spark):
@@ -193,7 +191,7 @@ def test_a_dense_component_is_split_by_all_its_pairs(spark, monkeypatch, block):
     """Candidates hold few of a dense component's pairs; medoids, members and typical ones go by all of them."""
     monkeypatch.setattr(clusters, "BLOCK", block)
     xs = sorted(set(np.random.default_rng(12).uniform(0, 4, 300).round(3).tolist()))
-    r = points(spark, [(f"k{i:03d}", x) for i, x in enumerate(xs)]).select("key", "cls", "tokens", "idx", "val")
+    r = points(spark, [(f"k{i:03d}", x) for i, x in enumerate(xs)])
     cls = {x["key"]: x["cls"] for x in r.select("key", "cls").collect()}
     keys = [f"k{i:03d}" for i in range(len(xs))]
     far = np.abs(np.subtract.outer(xs, xs))
@@ -236,17 +234,55 @@ def test_clusters_of_copies_and_of_nothing(spark):
     assert members.count() == 0 and groups.count() == 0
 
 
-@pytest.mark.parametrize("kind", ["cosine"])
-def test_cosine_groups(spark, kind):
-    rng = np.random.default_rng(9)
-    rows = near_copies(rng, 20, 6)
-    v = vectors.canonical(frame(spark, rows), "key", "idx", "val")
-    m = clusters.Measure(kind, strict=0.9, loose=0.8, jaccard=0.5)
-    members, _ = clusters.similarity_clusters(v.select("key", "cls", F.col("idx").alias("tokens"), "idx", "val"), m)
+def by_cosine(spark, rows):
+    return vectors.canonical(frame(spark, rows), "key", "idx", "val").select("key", F.lit(0).cast("bigint").alias("space"), "cls", "idx", "val")
+
+
+def test_cosine_groups(spark):
+    rows = near_copies(np.random.default_rng(9), 20, 6)
+    members, _ = clusters.similarity_clusters(by_cosine(spark, rows), clusters.Measure("cosine", strict=0.9, loose=0.8, jaccard=0.5))
     assert all(r["cluster"][:4] == r["key"][:4] for r in members.collect())
     assert members.select("cluster").distinct().count() == 20
 
 
+def test_one_heavy_index_makes_a_group(spark):
+    """Records that share a heavy index and have light tails of their own have a cosine of 0.93, whatever their sets of indices."""
+    rows = [(f"a{i}", [0, *range(10 * i + 1, 10 * i + 9)], [1.0] + [0.095] * 8) for i in range(6)] + [(f"b{i}", [500, *range(600 + 10 * i, 608 + 10 * i)], [-1.0] + [0.095] * 8) for i in range(5)]
+    members, groups = clusters.similarity_clusters(by_cosine(spark, rows), clusters.Measure("cosine", strict=0.6, loose=0.5, jaccard=0.3))
+    assert {r["key"]: r["cluster"] for r in members.collect()} == {k: k[0] + "0" for k, _, _ in rows}
+    assert {(r["cluster"], r["size"], r["whole"]) for r in groups.collect()} == {("a0", 6, True), ("b0", 5, True)}
+
+
+def test_minima_agree_as_often_as_the_jaccard_similarity():
+    rng = np.random.default_rng(3)
+    pairs, m = 400, clusters.Measure("cosine", 0.6, 0.5, 0.3)
+    x = rng.uniform(0.1, 1, (2 * pairs, 6))
+    idx = np.concatenate([np.sort(rng.choice(9, 6, replace=False)) for _ in range(2 * pairs)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = (np.arange(2 * pairs + 1) * 6, idx, x.ravel())
+    h = m.minima(np.zeros(2 * pairs, np.int64), v, rng.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1))
+    half = lambda k: (np.arange(pairs + 1) * 6, idx.reshape(-1, 6)[k * pairs : (k + 1) * pairs].ravel(), x[k * pairs : (k + 1) * pairs].ravel())
+    want = m.token_jaccard(half(0), half(1), np.ones(pairs, bool))
+    got = (h[:, :pairs] == h[:, pairs:]).mean(0)
+    assert abs(got.mean() - want.mean()) < 0.02 and np.corrcoef(got, want)[0, 1] > 0.9
+    c = vectors.dots(half(0), half(1))
+    assert (want >= (1 - np.sqrt(1 - c**2)) / (1 + np.sqrt(1 - c**2)) - 1e-9).all()  # the floor
+
+
+@pytest.mark.parametrize("few,block", [(16, 1024), (1, 1024), (1, 20)])
+def test_components_lose_no_link(spark, monkeypatch, few, block):
+    """Components equal those of all loosely similar pairs, however dense the buckets are and however they are cut."""
+    monkeypatch.setattr(clusters, "FEW", few)
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    xs = np.unique(np.r_[rng.uniform(0, 3, 150), rng.uniform(5, 5.5, 100), np.cumsum(rng.uniform(0.9, 1.3, 60)) + 10].round(4))
+    r = points(spark, [(f"k{i:03d}", float(x)) for i, x in enumerate(xs)])
+    sets = r.select("cls", "space", "idx", "val")
+    comp = {x["cls"]: x["comp"] for x in clusters.components_of(sets, LINE).collect()}
+    got = [comp[x["cls"]] for x in r.orderBy("key").collect()]
+    assert [a == b for a, b in zip(got, got[1:])] == (np.diff(xs) <= 1.1 + 1e-9).tolist() and len(set(got)) == 1 + (np.diff(xs) > 1.1 + 1e-9).sum()
+
+
 def test_isolated(spark):
     pos = spark.createDataFrame([(1, 0.0, 0.0, "a"), (1, 0.5, 0.0, "a"), (1, 1.5, 0.0, "b"), (1, 9.0, 9.0, "c"), (2, 0.2, 0.0, "d")], "space int, x double, y double, cluster string")
     out = clusters.isolated(pos.filter("cluster IN ('a', 'c')"), pos, 1.1)
