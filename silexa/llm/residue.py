@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 #: A line is boilerplate of a host if it stands in at least so many of its posts, and in this share of them.
-MIN_POSTS, MIN_SHARE = 5, 0.0001
+MIN_POSTS, MIN_SHARE = 3, 0.0001
 
 # --- the poster's own text ------------------------------------------------------------------------------------------
 _QUOTE_TAG = re.compile(r"\[(/?)quote(?:=(?:[^\[\]\n]|\[[^\[\]\n]*\])*)?\]|<(/?)blockquote[^<>]*>", re.I)
@@ -97,6 +97,7 @@ PLACEHOLDER = re.compile(
     rf"|<%[=-]?\s*{_NAME}\s*-?%>|<\?=?\s*\$?{_NAME}\s*\?>"  # <%= name %>, <?= $name ?>
     rf"|%%{_NAME}%%|%\({_NAME}\)[sdf]|%[A-Za-z]\w*[._-]?\w*%"  # %%name%%, %(name)s, %name%
     rf"|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>"  # [[name]], <<name>>
+    rf"|\*\|\s*{_NAME}\s*\|\*|##[A-Za-z][\w.\-]*##|\{{%\s*{_NAME}\s*%\}}|\[%\s*{_NAME}\s*%\]"  # *|name|*, ##name##, {% name %}, [% name %]
     r"|@@[A-Za-z][\w.\-]*@@|@[A-Za-z][\w.\-]*@(?!\w)|__[A-Za-z][\w.\-]*?__|\$[A-Za-z][\w.\-]*\$"  # @@name@@, __name__, $name$
     r"|\[(?:insert|your|ihre?n?|dein|votre|su|tu|inserte|insérer|einfügen)\b [^\]\n]{1,40}\]",  # [INSERT name HERE], [Your name]
     re.I,
@@ -124,7 +125,9 @@ ERROR = re.compile(
     r"kein zugriff|dienst nicht verfügbar|datenbankfehler|wartungsarbeiten|der angeforderte|ihre sitzung|sitzung abgelaufen|page introuvable|accès (?:refusé|interdit)|"
     r"erreur (?:interne|du serveur|serveur)|service (?:temporairement )?indisponible|le (?:sujet|serveur|site) demandé|le serveur|base de données|votre session|session expirée|"
     r"página no encontrada|pagina no encontrada|acceso denegado|error (?:interno|del servidor|de base)|servicio no disponible|el servidor|la página|su sesión|sesión (?:caducada|expirada)|"
-    r"el tema solicitado|no se (?:ha )?(?:encontrado|pudo)|#\d+ \S+\(\d*\)?|at line \d+)",
+    r"el tema solicitado|no se (?:ha )?(?:encontrado|pudo)|#\d+ \S+\(\d*\)?|at line \d+|w?h?oops\b|hoppla\b|oups\b)"
+    r"|\bsomething went wrong|\b(?:unexpected|unknown|internal) error\b|\ban error (?:has )?occurred|\betwas ist schief ?gegangen|\bein (?:unerwarteter )?fehler ist aufgetreten"
+    r"|\bune erreur (?:est survenue|s'est produite)|\bun problème est survenu|\balgo (?:salió|ha salido) mal|\b(?:ha ocurrido|se ha producido|se produjo) un (?:error|problema)",
     re.I,
 )
 SCRIPTS = re.compile(r"\bjava ?scripts?\b|\bscript(?:s|ing)?\b|\bcookies\b|\bskripte?\b", re.I)
@@ -132,7 +135,10 @@ FILLER = re.compile(
     r"^(?:lorem ipsum|dolor sit amet|consectetur|texte? de remplissage|texto de (?:relleno|ejemplo|prueba)|(?:this is|dies ist|ceci est|este es|esto es)\b.{0,20}\b(?:sample|placeholder|filler|dummy|blind|"
     r"platzhalter|remplissage|relleno|ejemplo|prueba|beispiel)|(?:sample|placeholder|filler|dummy|test) text|(?:bitte )?(?:diesen |dies ist ein )?(?:blind|platzhalter|füll|beispiel)text|"
     r"bitte diesen (?:blind|platzhalter)text|(?:please )?(?:replace|insert|add|put) (?:this|your|the) (?:text|content|paragraph)|remplacez ce|ersetzen sie|reemplace este|sustituya este|content goes here|"
-    r"(?:your|insert) text here|coming soon|under construction)",
+    r"(?:your|insert) text here|coming soon|under construction|todo\b|tbd\b|fixme\b)"
+    r"|\bto be (?:supplied|provided|added|written|filled in|completed|defined|determined|announced)\b"
+    r"|^(?:please )?(?:write|add|enter|type|put|insert|place|describe)\b.{0,60}\b(?:here|in this (?:box|field|space|area|section))\b"
+    r"|^(?:bitte )?(?:hier|geben sie|fügen sie|schreiben sie)\b.{0,60}\b(?:ein(?:geben|fügen|tragen)?|in dieses feld)\b|^(?:saisissez|écrivez|ajoutez|escriba|añada|introduzca)\b.{0,60}\b(?:ici|dans ce champ|aquí|en este campo)\b",
     re.I,
 )
 #: Words by which people speak of themselves, to others, or of a third thing: no page says them.
@@ -161,43 +167,41 @@ def kind_of(sentence: str) -> str | None:
     return "error" if ERROR.search(sentence) else None
 
 
-def evidence(lines: list[str]) -> str | None:
+def evidence(lines: list[str]) -> bool:
     """A cheap upper bound: some kind of evidence anywhere in the own text."""
-    for line in lines:
-        if PLACEHOLDER.search(line) or _bare_placeholder(line):
-            return "placeholder"
-    for line in lines:
-        if _repeated(line) or any(kind_of(s) for s in _SENTENCE.split(line)):
-            return "page"
-    return None
+    return any(PLACEHOLDER.search(x) or _bare_placeholder(x) or _repeated(x) or any(kind_of(s) for s in _SENTENCE.split(x)) for x in lines)
 
 
-#: Words of ordinary sentences beside the evidence that a page may still have, per sentence of evidence.
-BESIDE = 9
+#: Words that a page may still have beside each sentence of evidence: in other sentences of its line, and in residual lines without any.
+BESIDE, APART = 9, 3
 
 
-def verdict(lines: list[str]) -> str | None:
-    """placeholder, error, scripts or filler if the residual lines are that instead of content, else None."""
-    for line in lines:
-        if PLACEHOLDER.search(line) or _bare_placeholder(line):
-            return "placeholder"
+def verdict(lines: list[str], recurrent: list[bool] | None = None) -> str | None:
+    """placeholder, error, scripts or filler if the residual lines are that instead of content, else None.
+
+    Lines that are `recurrent` on their host and no evidence themselves are subtracted.
+    """
+    if any(PLACEHOLDER.search(x) or _bare_placeholder(x) for x in lines):
+        return "placeholder"
     kinds: dict[str, int] = {}
-    rest = 0
-    talk = False
-    previous = None
-    for line in lines:
-        for s in ([line] if _repeated(line) else _SENTENCE.split(line)):
-            n = len(_TOKEN.findall(s))
-            kind = kind_of(s)
-            if kind is None and previous == "filler" and n > 0 and not TALK.search(s) and _repeated(line):
-                kind = "filler"
-            if kind:
+    beside = apart = 0
+    for line, subtract in zip(lines, recurrent or [False] * len(lines)):
+        whole = _repeated(line)
+        found, rest, talk = 0, 0, False
+        for s in [line] if whole else _SENTENCE.split(line):
+            if kind := kind_of(s):
                 kinds[kind] = kinds.get(kind, 0) + 1
+                found += 1
             else:
-                rest += n
+                rest += len(_TOKEN.findall(s))
                 talk = talk or bool(TALK.search(s))
-            previous = kind
-    if not kinds or talk or rest > BESIDE * sum(kinds.values()):
+        if found or not subtract:
+            if talk:
+                return None
+            beside += rest * bool(found)
+            apart += rest * (not found)
+    n = sum(kinds.values())
+    if not kinds or beside > BESIDE * n or apart > APART * n:
         return None
     return max(sorted(kinds), key=lambda k: kinds[k])
 
@@ -242,7 +246,7 @@ def residue(docs: DataFrame, key: str, text: str, host: str, author: str | None
         for b in batches:
             out = []
             for raw, common in zip(b.column("raw").to_pylist(), b.column("common").to_pylist()):
-                out.append(verdict([x for x, c in zip(raw, common) if not c or evidence([x])]))
+                out.append(verdict(raw, common))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.string())], ["k", "kind"])
 
     return whole.mapInArrow(judge, f"k {kind}, kind string").filter(F.col("kind").isNotNull()).select(F.col("k").alias(key), "kind").distinct()
