@@ -167,7 +167,7 @@ def _massed(each: DataFrame, hot: DataFrame, vectors: DataFrame, bits: int, prob
     hits = staged(each.join(around, ["space", "sub"]).select("cls", name.alias("hot"), (F.col("sub") == F.col("hot")).alias("member")), "hits")
     inside = hits.filter("member")
     links = inside.join(inside.groupBy("cls").agg(F.min("hot").alias("a")), "cls").filter(F.col("a") != F.col("hot")).select("a", F.col("hot").alias("b")).distinct()
-    comps = connected_components(links).withColumnRenamed("cls", "hot")
+    comps = connected_components(staged(links, "links")).withColumnRenamed("cls", "hot")
     at = hits.join(comps, "hot", "left").groupBy(F.coalesce("comp", "hot").alias("space"), "cls").agg(F.max("member").alias("base"))
     rows = at.join(vectors.select("cls", "idx", "val"), "cls").select("space", "cls", F.col("cls").alias("head"), F.lit(True).alias("asks"), "base", "idx", "val")
     return exact_nearest(rows, k)

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silexa.llm import clusters, neighbours, vectors
+from silexa.llm import clusters, components, neighbours, vectors
 
 SCHEMA = "key string, idx array<int>, val array<double>, cls string, other int"
 
@@ -148,12 +148,14 @@ def test_every_vector_gets_its_k_nearest(spark, monkeypatch, block):
     assert [o for _, o, _ in sorted(got["lone"])] == ["twin", *sorted(k for k, _, _ in rows if k not in ("lone", "twin"))[:9]]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "LINKS", most)
     pairs = [(1, 2), (2, 3), (10, 11), (3, 4), (4, 5), (5, 6), (6, 7), (20, 22), (21, 22)]
     links = spark.createDataFrame(pairs, "a bigint, b bigint")
-    got = {r["cls"]: r["comp"] for r in clusters.connected_components(links).collect()}
+    got = {r["cls"]: r["comp"] for r in components.connected_components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 8)}, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
-    assert clusters.connected_components(links.limit(0)).count() == 0
+    assert components.connected_components(links.limit(0)).count() == 0
 
 
 def points(spark, groups):
