@@ -23,14 +23,26 @@ def naive(sizes, capacity):
     return bins, out
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_best_fit_against_a_scan(seed):
     rng = np.random.default_rng(seed)
-    sizes = np.sort(rng.integers(0, 101, 400))[::-1]
-    got = packing.best_fit_decreasing(sizes, 100)
-    fill = np.bincount(got, weights=sizes)
+    sizes = np.sort(rng.integers(1, 101 if seed < 5 else 30, 400))[::-1]
+    size, n = np.unique(sizes, return_counts=True)
+    runs = packing.best_fit_decreasing(dict(zip(size.tolist(), n.tolist())), 100)
+    room = {}
+    for s, _, count, each, lo in runs.tolist():
+        for i in range(count):
+            room[lo + i // each] = room.get(lo + i // each, 100) - s
     bins, _ = naive(sizes.tolist(), 100)
-    assert sorted(100 - f for f in fill) == sorted(bins)  # the same room left, whichever of equal bins is taken
+    assert sorted(room.values()) == sorted(bins)  # the same room left, whichever of equal bins is taken
+    for s, c in zip(size.tolist(), n.tolist()):
+        mine = sorted((f, k) for t, f, k, *_ in runs.tolist() if t == s)
+        assert mine[0][0] == 0 and sum(k for _, k in mine) == c and all(f + k == g for (f, k), (g, _) in zip(mine, mine[1:]))
+
+
+def test_work_depends_on_sizes_not_on_items():
+    runs = packing.best_fit_decreasing({s: 10**9 + s for s in range(1, 2049)}, 2048)
+    assert len(runs) < 50_000 and runs[:, 2].sum() == sum(10**9 + s for s in range(1, 2049))
 
 
 def check(items, out, capacity):
@@ -58,11 +70,12 @@ def test_whole_items_and_little_room(spark):
 
 
 def test_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "PIECES", 300)
+    monkeypatch.setattr(packing, "PIECES", 3)
     items = {f"k{i}": 1 + (i * 37) % 100 for i in range(2000)}
     df = spark.createDataFrame(list(items.items()), "id string, n int")
     fill = check(items, packing.pack(df, "id", "n", 100).collect(), 100)
-    assert sum(fill.values()) / (len(fill) * 100) > 0.95
+    bins, _ = naive(sorted(items.values(), reverse=True), 100)
+    assert sorted(100 - f for f in fill.values()) == sorted(bins)  # however many parts number the items
 
 
 def test_odd_sizes(spark):
