@@ -46,6 +46,16 @@ def p4_combined_days(spark: SparkSession, d: str) -> DataFrame:
     return q.select("measure", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(["p10", "p50", "p90"])])
 
 
+def p4_combined_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the percentiles combined from days lie within half a hundredth of all values of their rank."""
+    values = _measures(spark, d)
+    q = p4_combined_days(spark, d)
+    names = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    x = values.select("measure", "value").join(F.broadcast(q), "measure").groupBy("measure").agg(F.count("*").alias("n"), *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for c in names], *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for c in names])
+    ok = [((F.col(f"{c}_below") <= (p + 0.005) * F.col("n")) & (F.col(f"{c}_upto") >= (p - 0.005) * F.col("n"))).alias(c) for c, p in names.items()]  # three rows
+    return x.select("measure", "n", *ok)
+
+
 _M = """
 WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY loaded_at DESC) AS rn FROM feature_win_test) WHERE rn = 1 AND lot_id IS NOT NULL),
 m AS (SELECT lot_id, 'alcohol' AS measure, alcohol AS v FROM t WHERE alcohol > 0 AND alcohol <= 30
@@ -53,10 +63,11 @@ m AS (SELECT lot_id, 'alcohol' AS measure, alcohol AS v FROM t WHERE alcohol > 0
   UNION ALL SELECT lot_id, 'quality', quality FROM t WHERE quality > 0 AND quality <= 10)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_lot_percentiles": p4_lot_percentiles, "p4_combined_days": p4_combined_days}
+QUERIES = {"p4_found": p4_found, "p4_lot_percentiles": p4_lot_percentiles, "p4_combined_days": p4_combined_days, "p4_combined_bound": p4_combined_bound}
 SQL = {
     "p4_found": _M + """
 SELECT lot_id, measure FROM m GROUP BY lot_id, measure
 HAVING count(*) >= 30 AND quantile_cont(v, 0.9) - quantile_cont(v, 0.5) >= CASE measure WHEN 'alcohol' THEN 2.0 WHEN 'ph' THEN 0.45 ELSE 2.0 END""",
     "p4_lot_percentiles": _M + "SELECT lot_id, measure, count(*) AS n, " + ", ".join(f"quantile_disc(v, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM m GROUP BY lot_id, measure",
+    "p4_combined_bound": _M + "SELECT measure, count(*) AS n, true AS p10, true AS p50, true AS p90 FROM m GROUP BY measure",
 }
