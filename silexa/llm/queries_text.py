@@ -20,12 +20,17 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("posts"))
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that hold an evaluation item wholly or partly, also with a few letters changed: the alignment's score and place."""
+    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 12)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Posts of template residue, filler, an error page or a scripts-required notice."""
     return residue(table(spark, d, "documents"), "doc_id", "text", "source", "author").select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items, "p10_found": p10_found}
+QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items, "p9_passages": p9_passages, "p10_found": p10_found}
 #: The entities that forum posts hold; others would be words of their own here.
 _TEXT = "lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({t}, '</?[A-Za-z][^<>]*>|\\[/?[A-Za-z*][^\\[\\]\\n]*\\]', ' ', 'g'), '&#0?39;|&middot;|&quot;', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(8203), ''), chr(173), ''))"
 _LEAKS = f"""

@@ -70,11 +70,53 @@ def test_changed_words_are_found_but_not_exact(spark):
 
 
 def test_several_passes(spark, monkeypatch):
+    """The result doesn't depend on how the items are cut, nor on other items: one of short words leaves the others their edits."""
     docs, items = make(8)
+    docs = [(d, t.replace("e", "x", 1) if d % 2 else t) for d, t in docs]
+    items.append((99, " ".join("ab" for _ in range(14))))
+    df, it = spark.createDataFrame(docs, "d bigint, t string"), spark.createDataFrame(items, "i bigint, t string")
+    find = lambda it: {tuple(r) for r in leaks.leaked_passages(df, "d", "t", it, "i", "t", 12).collect()}
+    once = find(it)
+    assert {(r[0], r[1]) for r in once if r[2]} == brute(docs, items, 12) and any(not r[2] for r in once)
+    assert find(it.filter("i <> 99")) == {r for r in once if r[1] != 99}
+    monkeypatch.setattr(leaks, "HITS", 50)
+    monkeypatch.setattr(leaks, "ITEMS", 3)
+    assert find(it) == once
     monkeypatch.setattr(leaks, "ITEM_CHARS", 500)
+    assert find(it) == once
+
+
+def near(text, item, most):
+    """Whether some window of the text lies within `most` edits of some run of 12 words of the item."""
+    w = item.split()
+    for r in {" ".join(w[k : k + 12]) for k in range(len(w) - 11)}:
+        last = [0] * (len(text) + 1)
+        for i, c in enumerate(r, 1):
+            now = [i]
+            for j, e in enumerate(text, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (c != e)))
+            last = now
+        if min(last) <= most:
+            return True
+    return False
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Every passage of 12 words within the edit budget is found."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(16))) for i in range(5)]
+    docs = []
+    for d in range(30):
+        w = items[d % 5][1].split()
+        part = list(" ".join(w[d % 4 : d % 4 + 12]))
+        for _ in range(d % 3):
+            part[rng.randrange(len(part))] = rng.choice("xyz")
+        docs.append((d, " ".join(rng.choice(vocab) for _ in range(10)) + " " + "".join(part) + " " + rng.choice(vocab)))
     df, it = spark.createDataFrame(docs, "d bigint, t string"), spark.createDataFrame(items, "i bigint, t string")
-    got = {(r["d"], r["i"]) for r in leaks.leaked_passages(df, "d", "t", it, "i", "t", 12).collect() if r["exact"]}
-    assert got == brute(docs, items, 12)
+    got = {(r["d"], r["i"]) for r in leaks.leaked_passages(df, "d", "t", it, "i", "t", 12).collect()}
+    want = {(d, i) for d, t in docs for i, x in items if near(t, x, leaks.EDITS)}
+    assert len(want) == 30 and want <= got
 
 
 def test_empty_tables(spark):
