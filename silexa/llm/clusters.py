@@ -112,23 +112,37 @@ def bands_for(jaccard: float, miss: float = 0.002) -> int:
     return math.ceil(math.log(miss) / math.log(1 - jaccard**ROWS))
 
 
-def band_rows(sets: DataFrame, m: Measure, first: int, last: int) -> DataFrame:
-    """(cls, label, bucket) of every class for the bands from `first` to before `last`."""
+def _several(df: DataFrame, m: Measure | tuple[Measure, ...]) -> tuple[DataFrame, tuple[Measure, ...]]:
+    """Records with the number `m` of their measure, and the measures; records of different measures never meet."""
+    return (df, m) if isinstance(m, tuple) else (df.withColumn("m", F.lit(0)), (m,))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = np.random.default_rng(SEED).integers(1, 2**63, last * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            least = m.minima(b.column("space").to_numpy(), csr(b.column("idx"), b.column("val")), seeds[first * ROWS :])
-            with np.errstate(over="ignore"):
-                key = np.zeros((last - first, b.num_rows), np.uint64) + np.arange(first, last, dtype=np.uint64)[:, None]
-                for r in range(ROWS):
-                    key = _mix(key) + least[r::ROWS]
-            tile = pa.array(np.tile(np.arange(b.num_rows), last - first))
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(tile), b.column("label").take(tile), pa.array(key.ravel().view(np.int64))], ["cls", "label", "bucket"])
 
-    return sets.select("cls", "label", "space", "idx", "val").mapInArrow(run, "cls bigint, label bigint, bucket bigint")
+def _by_measure(g: pa.RecordBatch, ms: tuple[Measure, ...]) -> Iterator[tuple[int, Measure, np.ndarray]]:
+    kind = g.column("m").to_numpy()
+    for k in np.unique(kind):
+        yield int(k), ms[k], np.flatnonzero(kind == k)
+
+
+def band_rows(sets: DataFrame, ms: tuple[Measure, ...], first: int, last: int | None = None) -> DataFrame:
+    """(cls, label, bucket) of every class for its measure's bands from `first` to before `last`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(SEED).integers(1, 2**63, ROWS * max(bands_for(m.jaccard) for m in ms), np.uint64) * np.uint64(2) + np.uint64(1)
+        for whole in batches:
+            for no, m, rows in _by_measure(whole, ms) if whole.num_rows else ():
+                b = whole.take(pa.array(rows))
+                upto = min(last or 1 << 20, bands_for(m.jaccard))
+                if upto <= first:
+                    continue
+                least = m.minima(b.column("space").to_numpy(), csr(b.column("idx"), b.column("val")), seeds[first * ROWS : upto * ROWS])
+                with np.errstate(over="ignore"):
+                    key = np.zeros((upto - first, b.num_rows), np.uint64) + np.arange(first, upto, dtype=np.uint64)[:, None] + np.uint64(no << 32)
+                    for r in range(ROWS):
+                        key = _mix(key) + least[r::ROWS]
+                tile = pa.array(np.tile(np.arange(b.num_rows), upto - first))
+                yield pa.RecordBatch.from_arrays([b.column("cls").take(tile), b.column("label").take(tile), pa.array(key.ravel().view(np.int64))], ["cls", "label", "bucket"])
+
+    return sets.select("cls", "label", "m", "space", "idx", "val").mapInArrow(run, "cls bigint, label bigint, bucket bigint")
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +163,7 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(e) for e in zip(*edges))
 
 
-def verified_links(rows: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
+def verified_links(rows: DataFrame, sets: DataFrame, ms: tuple[Measure, ...]) -> DataFrame:
     """(a, b), labels: links that join all loosely similar records of different labels that share a bucket.
 
     Every pair of a bucket is compared exactly, in blocks if it is large; but while a small bucket gives all its similar pairs, a
@@ -159,18 +173,20 @@ def verified_links(rows: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     rows = rows.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "bucket")
     rows = rows.withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "label").join(sets.select("cls", "space", "idx", "val"), "cls")
+    rows = rows.select("bucket", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "label").join(sets.select("cls", "m", "space", "idx", "val"), "cls")
 
     def similar(g: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        label, space = g.column("label").to_numpy(), g.column("space").to_numpy()
+        label, space, kind = (g.column(c).to_numpy() for c in ("label", "space", "m"))
         differ = label[i] != label[j]
         i, j = i[differ], j[differ]
         out = []
-        for lo in range(0, len(i), PAIRS):
-            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            a, b = (csr(g.column("idx").take(pa.array(e)), g.column("val").take(pa.array(e))) for e in (p, q))
-            ok = m.within(m.similarity(a, b), m.loose) & (m.token_jaccard(a, b, space[p] == space[q]) >= m.floor - 1e-9)
-            out.append(np.sort(np.stack([label[p[ok]], label[q[ok]]], 1), 1))
+        for no in np.unique(kind[i]):
+            m, mine = ms[no], np.flatnonzero(kind[i] == no)
+            for lo in range(0, len(mine), PAIRS):
+                p, q = i[mine[lo : lo + PAIRS]], j[mine[lo : lo + PAIRS]]
+                a, b = (csr(g.column("idx").take(pa.array(e)), g.column("val").take(pa.array(e))) for e in (p, q))
+                ok = m.within(m.similarity(a, b), m.loose) & (m.token_jaccard(a, b, space[p] == space[q]) >= m.floor - 1e-9)
+                out.append(np.sort(np.stack([label[p[ok]], label[q[ok]]], 1), 1))
         pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -187,6 +203,7 @@ def verified_links(rows: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
             yield similar(g, i, j)
             for s, size in zip(starts[~few], n[~few]):
                 one = g.slice(s, size)
+                m = ms[one.column("m")[0].as_py()]
                 label, k = one.column("label").to_numpy(), one.column("k").to_numpy()
                 how = _all_pairs(one, np.arange(size), np.arange(size), m) if keys[1, s] == keys[2, s] else None
                 if how is None:  # only pairs between the two blocks
@@ -201,18 +218,16 @@ def verified_links(rows: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components_of(sets: DataFrame, m: Measure) -> DataFrame:
+def components_of(sets: DataFrame, m: Measure | tuple[Measure, ...]) -> DataFrame:
     """(cls, comp) of every class: the components of loosely similar ones.
 
     The first bands join most of what belongs together; for the rest only buckets that still hold several components are compared.
     """
+    sets, ms = _several(sets, m)
     own = sets.withColumn("label", F.col("cls"))
-    bands = bands_for(m.jaccard)
-    first = connected_components(staged(verified_links(staged(band_rows(own, m, 0, min(FIRST, bands)), "bands"), sets, m), "links"))
+    first = connected_components(staged(verified_links(staged(band_rows(own, ms, 0, FIRST), "bands"), sets, ms), "links"))
     labels = staged(sets.select("cls").join(first, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("label")), "labels")
-    if bands <= FIRST:
-        return labels.withColumnRenamed("label", "comp")
-    more = staged(verified_links(staged(band_rows(sets.join(labels, "cls"), m, FIRST, bands), "bands"), sets, m), "links")
+    more = staged(verified_links(staged(band_rows(sets.join(labels, "cls"), ms, FIRST), "bands"), sets, ms), "links")
     if more.isEmpty():
         return labels.withColumnRenamed("label", "comp")
     second = connected_components(more).withColumnRenamed("cls", "label")
@@ -236,38 +251,39 @@ def _all_pairs(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, m: Measur
     return how
 
 
-def _block_pairs(rows: DataFrame, m: Measure, columns: list[str], each: Callable, schema: str) -> DataFrame:
-    """What `each` gives for pairs of blocks of (comp, cls, idx, val, *columns), so that every pair of a component is compared.
+def _block_pairs(rows: DataFrame, ms: tuple[Measure, ...], columns: list[str], each: Callable, schema: str) -> DataFrame:
+    """What `each` gives for pairs of blocks of (comp, cls, m, idx, val, *columns), so that every pair of a component is compared.
 
     Large components are cut into blocks of BLOCK, a pair of blocks a task. `each` gets the rows of a pair, the places of the
-    left and the right block in them, their measure and whether the two are the same block.
+    left and the right block in them, how they compare, by which measure, and whether the two are the same block.
     """
     sizes = rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(sizes, "comp").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("comp", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "idx", "val", *columns)
+    rows = rows.select("comp", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "cls", "m", "idx", "val", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, ["comp", "x", "y"]):
             k, x, y = g.column("k").to_numpy(), g.column("x")[0].as_py(), g.column("y")[0].as_py()
             left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
-            how = _all_pairs(g, left, right, m)
-            yield from each(g, left, right, how, x == y)
+            m = ms[g.column("m")[0].as_py()]
+            yield from each(g, left, right, _all_pairs(g, left, right, m), m, x == y)
 
     return rows.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, schema)
 
 
-def exact_degrees(parts: DataFrame, m: Measure) -> DataFrame:
-    """(cls, comp, weight, similar, closeness) of (comp, cls, weight, idx, val): every pair of a component compared.
+def exact_degrees(parts: DataFrame, m: Measure | tuple[Measure, ...]) -> DataFrame:
+    """(cls, comp, weight, similar, closeness) of (comp, cls, [m,] weight, idx, val): every pair of a component compared.
 
     `similar` is the weight of the records of the component that are strictly similar to the class, its own included;
     `closeness` sums its similarity (or negative distance) to all. No pair is ever a row.
     """
+    parts, ms = _several(parts, m)
     rows = parts.join(parts.groupBy("comp").agg((F.count("*") == 1).alias("alone")), "comp")
     # a class alone has only its copies to be similar to
-    self = F.aggregate("val", F.lit(0.0), lambda acc, v: acc + v * v) if m.kind == "cosine" else F.lit(0.0)
+    self = F.when(F.col("m").isin([k for k, x in enumerate(ms) if x.kind == "cosine"]), F.aggregate("val", F.lit(0.0), lambda acc, v: acc + v * v)).otherwise(0.0)
     alone = rows.filter("alone").select("comp", "cls", "weight", F.col("weight").alias("similar"), (self * F.col("weight")).alias("closeness"))
 
-    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, m: Measure, same: bool) -> Iterator[pa.RecordBatch]:
         w = g.column("weight").to_numpy().astype(float)
         near = m.within(how, m.strict)
         close = how if m.kind == "cosine" else -how
@@ -280,15 +296,15 @@ def exact_degrees(parts: DataFrame, m: Measure) -> DataFrame:
             ["comp", "cls", "weight", "similar", "closeness"],
         )
 
-    done = _block_pairs(rows.filter("NOT alone").drop("alone"), m, ["weight"], each, "comp bigint, cls bigint, weight bigint, similar bigint, closeness double")
+    done = _block_pairs(rows.filter("NOT alone").drop("alone"), ms, ["weight"], each, "comp bigint, cls bigint, weight bigint, similar bigint, closeness double")
     return done.groupBy("comp", "cls", "weight").agg(F.sum("similar").alias("similar"), F.sum("closeness").alias("closeness")).union(alone)
 
 
-def _greatest_near(rows: DataFrame, m: Measure) -> DataFrame:
-    """(cls, h): of every class of (comp, cls, idx, val, d) the greatest (d, b) among the strictly similar others of its
+def _greatest_near(rows: DataFrame, ms: tuple[Measure, ...]) -> DataFrame:
+    """(cls, h): of every class of (comp, cls, m, idx, val, d) the greatest (d, b) among the strictly similar others of its
     component that have a `d`; classes without such have no row."""
 
-    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+    def each(g: pa.RecordBatch, left: np.ndarray, right: np.ndarray, how: np.ndarray, m: Measure, same: bool) -> Iterator[pa.RecordBatch]:
         d, cls = g.column("d").fill_null(-1).to_numpy(), g.column("cls").to_numpy()
         place = np.empty(len(d), np.int64)
         place[np.lexsort((cls, d))] = np.arange(len(d))
@@ -301,68 +317,69 @@ def _greatest_near(rows: DataFrame, m: Measure) -> DataFrame:
             found = np.flatnonzero(top.max(1) >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(cls[a[found]]), pa.array(d[b[best[found]]]), pa.array(cls[b[best[found]]])], ["cls", "d", "b"])
 
-    return _block_pairs(rows, m, ["d"], each, "cls bigint, d bigint, b bigint").groupBy("cls").agg(F.max(F.struct("d", "b")).alias("h"))
+    return _block_pairs(rows, ms, ["d"], each, "cls bigint, d bigint, b bigint").groupBy("cls").agg(F.max(F.struct("d", "b")).alias("h"))
 
 
-def _split(loose: DataFrame, m: Measure) -> DataFrame:
-    """(cls, comp): loose components (comp, cls, weight, idx, val) divided around medoids.
+def _split(loose: DataFrame, ms: tuple[Measure, ...]) -> DataFrame:
+    """(cls, comp): loose components (comp, cls, m, weight, idx, val) divided around medoids.
 
     A class that has more similar records than every class similar to it is a medoid; classes similar to medoids join
     the greatest of them; the rest is divided in further rounds, where degrees count the remaining classes only. All pairs
     of a component are compared, not only the candidates.
     """
-    left = staged(loose.select("comp", "cls", "weight", "idx", "val"), "left")
+    left = staged(loose.select("comp", "cls", "m", "weight", "idx", "val"), "left")
     done = None
     while not left.isEmpty():
-        degree = exact_degrees(left, m).select("cls", F.col("similar").alias("d"))
+        degree = exact_degrees(left, ms).select("cls", F.col("similar").alias("d"))
         rows = staged(left.join(degree, "cls"), "degree")
-        own = rows.select("comp", "cls", "d", "idx", "val").join(_greatest_near(rows, m), "cls", "left")
+        own = rows.select("comp", "cls", "m", "d", "idx", "val").join(_greatest_near(rows, ms), "cls", "left")
         medoid = F.col("h").isNull() | (F.struct("d", "cls") > F.struct(F.col("h.d").alias("d"), F.col("h.b").alias("cls")))
-        own = staged(own.withColumn("medoid", medoid).select("comp", "cls", F.when(F.col("medoid"), F.col("d")).alias("d"), "idx", "val"), "medoids")
+        own = staged(own.withColumn("medoid", medoid).select("comp", "cls", "m", F.when(F.col("medoid"), F.col("d")).alias("d"), "idx", "val"), "medoids")
         heads = own.filter("d IS NOT NULL").select("cls", F.col("cls").alias("comp"))
-        joined = _greatest_near(own, m).join(heads.select("cls"), "cls", "left_anti").select("cls", F.col("h.b").alias("comp"))
+        joined = _greatest_near(own, ms).join(heads.select("cls"), "cls", "left_anti").select("cls", F.col("h.b").alias("comp"))
         now = cut(heads.union(joined))
         done = now if done is None else done.union(now)
         left = staged(left.join(now.select("cls"), "cls", "left_anti"), "left")
     return done if done is not None else loose.select("cls", "comp").limit(0)
 
 
-def similarity_clusters(records: DataFrame, m: Measure) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(records: DataFrame, m: Measure | tuple[Measure, ...]) -> tuple[DataFrame, DataFrame]:
     """Clusters of mutually similar records: (members, groups).
 
-    `records` has (key, space bigint, cls, idx, val); records of one `cls` are copies, those of different spaces are never similar. Copies
+    `records` has (key, space bigint, cls, idx, val), and with several measures the number `m` of the record's; records of one `cls` are copies, those of different spaces are never similar. Copies
     are collapsed; MinHash banding of the token sets gives candidates, the measure and the exact Jaccard similarity verify them, loosely
     similar classes form connected components, whose every pair is then compared in blocks. A component in which all
     are strictly similar is a cluster as it is (`whole`); others are divided around highest-degree medoids, all their pairs compared.
 
-    members: (key, cluster, whole). groups: (cluster, size, whole, typical): the three keys nearest to all others, of copies only the least.
+    members: (m, key, cluster, whole). groups: (m, cluster, size, whole, typical): the three keys nearest to all others, of copies only the least.
     Records similar to no other are clusters of their own copies. Null keys and empty vectors must not occur
     (the callers filter them); an empty table gives empty results.
     """
-    records = staged(records.select("key", "space", "cls", "idx", "val"), "records")
-    sets = staged(records.groupBy("cls").agg(F.first(F.struct("space", "idx", "val")).alias("x"), F.count("*").alias("weight"), F.min("key").alias("key")).select("cls", "x.*", "weight", "key"), "sets")
-    comps = components_of(sets, m)
+    records, ms = _several(records, m)
+    records = staged(records.select("m", "key", "space", "cls", "idx", "val"), "records")
+    sets = staged(records.groupBy("cls").agg(F.first(F.struct("m", "space", "idx", "val")).alias("x"), F.count("*").alias("weight"), F.min("key").alias("key")).select("cls", "x.*", "weight", "key"), "sets")
+    comps = components_of(sets, ms)
     parts = sets.join(comps, "cls")
-    degrees = staged(exact_degrees(parts.select("comp", "cls", "weight", "idx", "val"), m), "degrees")
+    degrees = staged(exact_degrees(parts.select("comp", "cls", "m", "weight", "idx", "val"), ms), "degrees")
     totals = degrees.groupBy("comp").agg(F.sum("weight").alias("size"), F.min("similar").alias("least"))
     state = staged(degrees.join(totals, "comp").withColumn("whole", F.col("least") == F.col("size")), "state")
     tight = state.filter("whole").select("cls", "comp")
-    apart = staged(state.filter("NOT whole").select("comp", "cls", "weight").join(sets.select("cls", "idx", "val"), "cls"), "apart")
-    split = staged(_split(apart, m), "split")
+    apart = staged(state.filter("NOT whole").select("comp", "cls", "weight").join(sets.select("cls", "m", "idx", "val"), "cls"), "apart")
+    split = staged(_split(apart, ms), "split")
     # members are typical of the cluster they are in, not of the component it was part of
-    inner = exact_degrees(apart.drop("comp").join(split, "cls"), m)
+    inner = exact_degrees(apart.drop("comp").join(split, "cls"), ms)
     closeness = state.filter("whole").select("cls", "closeness").union(inner.select("cls", "closeness"))
     again = tight.withColumn("whole", F.lit(True)).union(split.withColumn("whole", F.lit(False)))
-    again = staged(again.join(sets.select("cls", "weight", "key"), "cls"), "clusters")
-    names = again.groupBy("comp").agg(F.min("key").alias("cluster"), F.sum("weight").alias("size"), F.first("whole").alias("whole"))
-    members = records.select("key", "cls").join(again.select("cls", "comp", "whole"), "cls").join(names.select("comp", "cluster"), "comp").select("key", "cluster", "whole")
+    again = staged(again.join(sets.select("cls", "m", "weight", "key"), "cls"), "clusters")
+    names = again.groupBy("comp").agg(F.first("m").alias("m"), F.min("key").alias("cluster"), F.sum("weight").alias("size"), F.first("whole").alias("whole"))
+    members = records.select("m", "key", "cls").join(again.select("cls", "comp", "whole"), "cls").join(names.select("comp", "cluster"), "comp").select("m", "key", "cluster", "whole")
     typical = again.join(closeness, "cls")
     salt = F.pmod(F.xxhash64("cls"), F.lit(32))
     order = [F.desc(F.round("closeness", DIGITS)), F.col("key")]
     typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("comp", salt).orderBy(*order))).filter("r <= 3")
     typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).filter("r <= 3")
     typical = typical.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]).alias("typical"))
-    return members, names.join(typical, "comp").select("cluster", "size", "whole", "typical")
+    return members, names.join(typical, "comp").select("m", "cluster", "size", "whole", "typical")
 
 
 def isolated(groups: DataFrame, positions: DataFrame, distance: float) -> DataFrame:

@@ -46,7 +46,7 @@ def _flowers(spark: SparkSession, d: str) -> DataFrame:
 
 def _flower_records(flowers: DataFrame) -> DataFrame:
     place = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
-    return flowers.select("key", F.xxhash64("bed").alias("space"), F.xxhash64("bed", "x", "y").alias("cls"), place.alias("idx"), F.array("x", "y").alias("val"))
+    return flowers.select("key", F.xxhash64("bed").alias("space"), F.xxhash64(F.lit("iris"), "bed", "x", "y").alias("cls"), place.alias("idx"), F.array("x", "y").alias("val"))
 
 
 def _point_records(spark: SparkSession, d: str) -> DataFrame:
@@ -54,27 +54,25 @@ def _point_records(spark: SparkSession, d: str) -> DataFrame:
     return v.select("key", F.lit(0).cast("bigint").alias("space"), "cls", "idx", "val")
 
 
-def _both(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    """Members and groups of flowers, and of points."""
-    return [similarity_clusters(_flower_records(_flowers(spark, d)), FLOWERS), similarity_clusters(_point_records(spark, d), POINTS)]
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Members and groups of flowers (m = 0) and points (m = 1)."""
+    records = _flower_records(_flowers(spark, d)).withColumn("m", F.lit(0)).unionByName(_point_records(spark, d).withColumn("m", F.lit(1)))
+    return similarity_clusters(records, (FLOWERS, POINTS))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of isolated groups of at least five mutually similar records."""
-    flowers = _flowers(spark, d)
-    (members, groups), (points, point_groups) = _both(spark, d)
-    placed = flowers.join(members, "key").select("key", "cluster", F.col("bed").alias("space"), "x", "y")
-    groups = groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster")
-    iris = isolated(placed.join(groups, "cluster"), placed, FLOWERS.loose).select(F.lit("iris").alias("src"), "key", "cluster")
-    point_groups = point_groups.filter(F.col("whole") & (F.col("size") >= 5)).select("cluster")
-    points = points.join(point_groups, "cluster").select(F.lit("points").alias("src"), "key", "cluster")
+    members, groups = _clusters(spark, d)
+    groups = groups.filter(F.col("whole") & (F.col("size") >= 5)).select("m", "cluster")
+    placed = _flowers(spark, d).join(members.filter("m = 0"), "key").select("key", "cluster", F.col("bed").alias("space"), "x", "y")
+    iris = isolated(placed.join(groups.filter("m = 0").select("cluster"), "cluster"), placed, FLOWERS.loose).select(F.lit("iris").alias("src"), "key", "cluster")
+    points = members.filter("m = 1").join(groups.filter("m = 1").select("cluster"), "cluster").select(F.lit("points").alias("src"), "key", "cluster")
     return iris.union(points).select("src", F.col("key").alias("member_id"), F.col("cluster").alias("cluster_id"))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every group's size and most typical members."""
-    out = [g.select(F.lit(src).alias("src"), F.col("cluster").alias("cluster_id"), "size", "whole", "typical") for src, (_, g) in zip(("iris", "points"), _both(spark, d))]
-    return out[0].union(out[1])
+    return _clusters(spark, d)[1].select(F.when(F.col("m") == 0, "iris").otherwise("points").alias("src"), F.col("cluster").alias("cluster_id"), "size", "whole", "typical")
 
 
 def p7_tight_groups(spark: SparkSession, d: str) -> DataFrame:
