@@ -63,6 +63,11 @@ def parse_pairs(x: str | Column) -> Column:
     return F.map_from_entries(once)
 
 
+def uniform(text: Column) -> Column:
+    """A repeatable number in [0, 1) for a text, from its MD5 digest: any engine can make the same."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def bernoulli(p: float, key: str | Column, seed: int = 42) -> Column:
     """A repeatable draw per key."""
     return (F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(2**40)) + 0.5) / 2.0**40 < p
@@ -94,11 +99,16 @@ def poisson(rate: float, key: str | Column, seed: int = 42, most: int = 12) -> C
 
 
 def unescape(x: str | Column) -> Column:
-    r"""\t, \n, \r and \\ as the characters they stand for."""
-    y = _c(x)
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\\\", "\\")):
-        y = F.replace(y, F.lit(a), F.lit(b))
-    return y
+    r"""\t, \n, \r, \\ and \uXXXX as the characters they stand for, in one pass; other escapes stay as they are."""
+    tokens = F.regexp_extract_all(_c(x), F.lit(r"(?s)(?:\\u[0-9a-fA-F]{4})+|\\.|[^\\]+|\\"), F.lit(0))
+
+    def char(t: Column) -> Column:
+        out = F.when(t.rlike(r"^\\u[0-9a-fA-F]{4}"), F.decode(F.unhex(F.replace(t, F.lit("\\u"), F.lit(""))), "UTF-16BE")).otherwise(t)
+        for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\\\", "\\")):
+            out = F.when(t == a, b).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(tokens, char), "")
 
 
 def as_json(*columns: str) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from ..session import cut, staged
 
 
@@ -26,8 +27,8 @@ def sparse_to_long(df: DataFrame, key: str, idx: str, val: str) -> DataFrame:
 
 
 def _noise(fid: Column, k: int, seed: int, scale: float) -> Column:
-    """A repeatable pseudo-random start value in (-scale, scale)."""
-    return ((F.pmod(F.xxhash64(fid, F.lit(k), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0) * 2 - 1) * scale
+    """A repeatable pseudo-random start value in [-scale, scale)."""
+    return (uniform(F.concat_ws("/", fid.cast("string"), F.lit(str(k)), F.lit(str(seed)))) * 2 - 1) * scale
 
 
 # --- softmax regression ---------------------------------------------------------------------------------------------

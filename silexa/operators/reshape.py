@@ -92,10 +92,11 @@ def row_ids(df: DataFrame, order: list[str | Column], name: str = "id") -> DataF
 
 
 def row_normalize(df: DataFrame, value: str, key: str | None = None, label: str | None = None, separator: str = "\t") -> DataFrame:
-    """(line): `id<sep>label<sep>value`; a missing id column gives unique ids, a missing label column NaN."""
-    i = F.col(key).cast("string") if key else F.monotonically_increasing_id().cast("string")
+    """(line): `id<sep>label<sep>value`; a missing id column gives consecutive ids from 0 in the rows' order, a missing label column NaN."""
+    if key is None:
+        df, key = row_ids(df.withColumn("__at", F.monotonically_increasing_id()), ["__at"], "__id"), "__id"
     y = F.col(label).cast("string") if label else F.lit("NaN")
-    return df.select(F.concat_ws(separator, F.coalesce(i, F.lit("")), F.coalesce(y, F.lit("NaN")), F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("line"))
+    return df.select(F.concat_ws(separator, F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(y, F.lit("NaN")), F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("line"))
 
 
 def random_split(df: DataFrame, ratio: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,47 @@
-"""Decision trees on binned features: level-wise histograms in SQL aggregates, and forests and boosting on top."""
+"""Decision trees on binned features: level-wise histograms and splits in SQL, and forests and boosting on top."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.scalars import uniform
+from ..session import cut, staged
+
+
+@dataclass(frozen=True)
+class Sparse:
+    """Features as a pair of array columns: indices from 0 to `size` - 1, and values; an index not listed is 0."""
+
+    idx: str
+    val: str
+    size: int
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, f: int) -> str:
+        return f"{self.val}[{f}]"
+
+
+Features = list[str] | Sparse
+
+
+def feature_value(features: Features, f: int) -> Column:
+    """The value by which a row is trained and scored: null and NaN count as 0."""
+    if isinstance(features, Sparse):
+        x = F.get(F.col(features.val), F.array_position(F.col(features.idx), f).cast("int") - 1)
+    else:
+        x = F.col(features[f])
+    return F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def _columns(features: Features) -> list[str]:
+    return [features.idx, features.val] if isinstance(features, Sparse) else list(features)
 
 
 @dataclass
@@ -28,28 +61,41 @@ class Node:
         return 0 if self.feature < 0 else 1 + max(self.left.depth(), self.right.depth())
 
 
-def tree_expression(node: Node, features: list[str], leaf=lambda n: n.prediction) -> Column:
-    """The tree as nested conditions, which Spark compiles; null features go right, as a false comparison."""
+def tree_expression(node: Node, features: Features, leaf=lambda n: n.prediction) -> Column:
+    """The tree as nested conditions, which Spark compiles; null and NaN features count as 0, as in training."""
     if node.feature < 0:
         return F.lit(float(leaf(node)))
-    return F.when(F.col(features[node.feature]).cast("double") < node.threshold, tree_expression(node.left, features, leaf)).otherwise(tree_expression(node.right, features, leaf))
+    return F.when(feature_value(features, node.feature) < node.threshold, tree_expression(node.left, features, leaf)).otherwise(tree_expression(node.right, features, leaf))
 
 
-def print_tree(node: Node, features: list[str], indent: str = "") -> str:
+def print_tree(node: Node, features: Features, indent: str = "") -> str:
     if node.feature < 0:
         return f"{indent}predict {node.prediction:g} ({node.count:g} rows)\n"
     name = features[node.feature]
     return f"{indent}if {name} < {node.threshold:g}\n{print_tree(node.left, features, indent + '  ')}{indent}else\n{print_tree(node.right, features, indent + '  ')}"
 
 
-def split_points(df: DataFrame, features: list[str], max_bins: int, accuracy: int = 10_000) -> list[list[float]]:
-    """At most `max_bins` - 1 thresholds of each feature, midway between neighbouring quantiles; one aggregate for all."""
-    probs = [i / max_bins for i in range(1, max_bins)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, [0.0, *probs, 1.0])), F.lit(accuracy)).alias(c) for c in features]).first()
-    out = []
-    for c in features:
-        q = sorted(set(row[c] or []))
-        out.append([(a + b) / 2 for a, b in zip(q, q[1:])])
+def _long(df: DataFrame, features: Features) -> DataFrame:
+    """(f, x) of every feature of every row; of sparse features only those listed."""
+    if isinstance(features, Sparse):
+        e = df.select(F.explode(F.arrays_zip(F.col(features.idx).alias("i"), F.col(features.val).alias("v"))).alias("e")).select(F.col("e.i").cast("int").alias("f"), F.col("e.v").cast("double").alias("x"))
+        return e.filter((F.col("f") >= 0) & (F.col("f") < features.size) & F.col("x").isNotNull() & ~F.isnan("x"))
+    return df.select(F.posexplode(F.array(*[feature_value(features, f) for f in range(len(features))])).alias("f", "x"))
+
+
+def split_points(df: DataFrame, features: Features, max_bins: int, accuracy: int = 10_000) -> list[list[float]]:
+    """At most `max_bins` - 1 thresholds of each feature: midway between all its values if it has at most `max_bins`, else between
+    neighbouring quantiles. One aggregate for all features; features x bins numbers come to the driver."""
+    long = _long(df, features)
+    probs = F.array(*[F.lit(i / max_bins) for i in range(max_bins + 1)])
+    rows = long.groupBy("f").agg(F.percentile_approx("x", probs, F.lit(accuracy)).alias("q"), F.approx_count_distinct("x", 0.02).alias("n"))
+    # a few more than max_bins by the estimate are counted exactly
+    few = long.join(F.broadcast(rows.filter(F.col("n") <= max_bins * 1.2 + 2).select("f")), "f").groupBy("f").agg(F.collect_set("x").alias("all"))
+    out: list[list[float]] = [[] for _ in range(len(features))]
+    for r in rows.join(few, "f", "left").collect():
+        values = r["all"] if r["all"] is not None and len(r["all"]) <= max_bins else r["q"]
+        q = sorted({*values, *([0.0] if isinstance(features, Sparse) else [])})
+        out[r["f"]] = [(a + b) / 2 for a, b in zip(q, q[1:])]
     return out
 
 
@@ -66,127 +112,115 @@ class CART:
     col_rate: float = 1.0
     seed: int = 42
 
-    def fit(self, df: DataFrame, features: list[str], label: str, weight: str | None = None, points: list[list[float]] | None = None) -> Node:
-        """Grow level by level: one scan and one aggregate over (leaf, feature, bin) for all open leaves of a level.
-
-        Only bin statistics (at most leaves x features x bins x classes rows) come to the driver.
-        """
+    def fit(self, df: DataFrame, features: Features, label: str, weight: str | None = None, points: list[list[float]] | None = None) -> Node:
+        """Grow level by level: one scan, one aggregate over (leaf, feature, bin), and the choice of splits in SQL; one row per
+        open leaf comes to the driver. Rows of a null label or of no weight don't count."""
         points = points if points is not None else split_points(df, features, self.max_bins)
         y, w = F.col(label).cast("double"), (F.col(weight).cast("double") if weight else F.lit(1.0))
-        binned = cut(self._binned(df, features, points).withColumns({"__y": y, "__w": w}).select("__y", "__w", "__b", "__x").filter(F.col("__y").isNotNull() & (F.col("__w") > 0)))
-        root: Node | None = None
-        open_: dict[int, Node] = {}
+        # names of their own first: a feature may be called like one of these
+        rows = df.select(F.lit(0).alias("__tree"), y.alias("__y"), w.alias("__w"), binned(features, points).alias("__e")).toDF("tree", "y", "w", "e")
+        return self.grow(staged(rows.filter(F.col("y").isNotNull() & (F.col("w") > 0)), "binned"), points, 1)[0]
+
+    def grow(self, rows: DataFrame, points: list[list[float]], trees: int) -> list[Node]:
+        """The trees of (tree, y, w, e), all at once: `e` holds the (feature, bin) of each row that are not the bin of 0."""
+        names = self._statistics(rows)
+        zero = rows.sparkSession.createDataFrame([(f, bisect_right(p, 0.0)) for f, p in enumerate(points)], "f int, zero int")
+        roots: list[Node | None] = [None] * trees
+        open_: dict[tuple[int, int], Node] = {}
+        rows = rows.withColumn("leaf", F.lit(0))
         for depth in range(self.max_depth + 1):
-            if root is None:
-                leaf: Column = F.lit(0)
-            elif not open_:
-                break
-            else:
-                leaf = self._leaf(root, open_)
-            stats = self._statistics(binned.withColumn("__leaf", leaf).filter(F.col("__leaf") >= 0))
-            nxt: dict[int, Node] = {}
-            for no, per_feature in stats.items():
-                total = self._sum(next(iter(per_feature.values())).values())
-                node = open_.get(no)
-                if root is None:
-                    node = root = self._node(total)
-                if depth == self.max_depth:
-                    continue
-                best = self._best(per_feature, total, node, no + depth * 1_000_003)
-                if best is None:
+            nxt: list[tuple] = []
+            fresh: dict[tuple[int, int], Node] = {}
+            for r in self._splits(rows, names, zero, len(points), depth).collect():  # a row per open leaf
+                total = [r[n] for n in names]
+                node = open_.get((r["tree"], r["leaf"]))
+                if node is None:
+                    node = roots[r["tree"]] = self._node(total, names)
+                best = r["best"]
+                if depth == self.max_depth or best is None:
                     continue
-                f, b, left, right = best
-                node.feature, node.threshold = f, points[f][b]
-                node.left, node.right = self._node(left), self._node(right)
-                nxt[len(nxt)] = node.left
-                nxt[len(nxt)] = node.right
-            open_ = nxt
-        return root if root is not None else Node(0.0, 0.0, 0.0)
-
-    @staticmethod
-    def _binned(df: DataFrame, features: list[str], points: list[list[float]]) -> DataFrame:
-        """Rows with their feature values `__x` (null and NaN as 0) and bins `__b`."""
-        x = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
-
-        def bin_of(v: Column, p: list[float]) -> Column:
-            return F.size(F.filter(F.array(*map(F.lit, p)), lambda t: t <= v)) if p else F.lit(0)
-
-        at = F.array(*[bin_of(v, p) for v, p in zip(x, points)])
-        x = F.array(*x)
-        return df.withColumn("__x", x).withColumn("__b", at)
-
-    @staticmethod
-    def _leaf(root: Node, open_: dict[int, Node]) -> Column:
-        number = {id(n): k for k, n in open_.items()}
-
-        def of(n: Node) -> Column:
-            if n.feature < 0:
-                return F.lit(number.get(id(n), -1))
-            return F.when(F.get("__x", F.lit(n.feature)) < n.threshold, of(n.left)).otherwise(of(n.right))
-
-        return of(root)
-
-    def _statistics(self, rows: DataFrame) -> dict:
-        """{leaf: {feature: {bin: statistics}}}, statistics being (weight, sum, sum of squares) or {class: weight}."""
-        long = rows.select("__leaf", "__y", "__w", F.posexplode("__b").alias("f", "b"))
-        out: dict = {}
+                left = list(best["left"])
+                node.feature, node.threshold = best["f"], points[best["f"]][best["b"]]
+                node.left, node.right = self._node(left, names), self._node([t - v for t, v in zip(total, left)], names)
+                no = 2 * r["leaf"] + 1
+                fresh[r["tree"], no], fresh[r["tree"], no + 1] = node.left, node.right
+                nxt.append((r["tree"], r["leaf"], best["f"], best["b"], bisect_right(points[best["f"]], 0.0)))
+            open_ = fresh
+            if not nxt:
+                break
+            chosen = rows.sparkSession.createDataFrame(nxt, "tree int, leaf int, sf int, sb int, sz int")  # a row per open leaf
+            at = F.coalesce(F.get(F.filter("e", lambda x: x["f"] == F.col("sf")), F.lit(0))["b"], F.col("sz"))
+            rows = rows.join(F.broadcast(chosen), ["tree", "leaf"]).select("tree", "y", "w", "e", (2 * F.col("leaf") + F.when(at <= F.col("sb"), 1).otherwise(2)).alias("leaf"))
+            if depth % 4 == 3:
+                rows = cut(rows)
+        return [n if n is not None else Node(0.0, 0.0, 0.0) for n in roots]
+
+    def _statistics(self, rows: DataFrame) -> dict[str, Column]:
+        """Named sums by which nodes are judged: weight by class, or weight, sum and sum of squares."""
+        y, w = F.col("y"), F.col("w")
         if self.impurity == "gini":
-            for r in long.groupBy("__leaf", "f", "b", "__y").agg(F.sum("__w").alias("w")).collect():
-                out.setdefault(r[0], {}).setdefault(r[1], {}).setdefault(r[2], {})[r[3]] = r[4]
-        else:
-            y, w = F.col("__y"), F.col("__w")
-            for r in long.groupBy("__leaf", "f", "b").agg(F.sum(w), F.sum(w * y), F.sum(w * y * y)).collect():
-                out.setdefault(r[0], {}).setdefault(r[1], {})[r[2]] = (r[3], r[4], r[5])
-        return out
-
-    def _sum(self, parts):
+            classes = sorted(r[0] for r in rows.select("y").distinct().collect())
+            self._classes = classes
+            return {f"c{k}": F.sum(F.when(y == c, w).otherwise(0.0)) for k, c in enumerate(classes)}
+        return {"n": F.sum(w), "s": F.sum(w * y), "q": F.sum(w * y * y)}
+
+    def _size(self, v: list):
+        """Weight and impurity times weight of sums, numbers or columns."""
         if self.impurity == "gini":
-            t: dict = {}
-            for p in parts:
-                for k, v in p.items():
-                    t[k] = t.get(k, 0.0) + v
-            return t
-        return tuple(map(sum, zip(*parts))) if parts else (0.0, 0.0, 0.0)
-
-    def _minus(self, a, b):
-        return {k: v - b.get(k, 0.0) for k, v in a.items()} if self.impurity == "gini" else tuple(x - y for x, y in zip(a, b))
-
-    def _size(self, s) -> float:
-        return sum(s.values()) if self.impurity == "gini" else s[0]
-
-    def _impurity(self, s) -> float:
-        n = self._size(s)
-        if n <= 0:
-            return 1.0
+            n = reduce(lambda a, b: a + b, v)
+            return n, n - reduce(lambda a, b: a + b, [x * x for x in v]) / (F.nullif(n, F.lit(0.0)) if isinstance(n, Column) else (n or 1.0))
+        n = v[0]
+        return n, v[2] - v[1] * v[1] / (F.nullif(n, F.lit(0.0)) if isinstance(n, Column) else (n or 1.0))
+
+    def _splits(self, rows: DataFrame, names: dict[str, Column], zero: DataFrame, features: int, depth: int) -> DataFrame:
+        """(tree, leaf, sums, best(f, b, left)): of every leaf its sums and its best split, null if there is none."""
+        keys = ["tree", "leaf"]
+        totals = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in names.items()])
+        if depth == self.max_depth:
+            return totals.withColumn("best", F.lit(None))
+        long = rows.select(*keys, "y", "w", F.inline("e")).groupBy(*keys, "f", "b").agg(*[c.alias(n) for n, c in names.items()])
+        of = totals.select(*keys, *[F.col(n).alias(f"t_{n}") for n in names])  # a row per open leaf
+        # rows that list no bin of a feature are in its bin of 0
+        rest = long.groupBy(*keys, "f").agg(*[F.sum(n).alias(n) for n in names]).join(F.broadcast(of), keys).join(F.broadcast(zero), "f")
+        rest = rest.select(*keys, "f", F.col("zero").alias("b"), *[(F.col(f"t_{n}") - F.col(n)).alias(n) for n in names])
+        w = Window.partitionBy(*keys, "f").orderBy("b")
+        bins = long.union(rest).withColumns({n: F.sum(n).over(w) for n in names}).join(F.broadcast(of), keys)
+        if self.col_rate < 1.0:
+            order = Window.partitionBy(*keys).orderBy(F.xxhash64("f", "tree", "leaf", F.lit(self.seed)))
+            bins = bins.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= max(1, math.ceil(self.col_rate * features)))
+        left, right = [F.col(n) for n in names], [F.col(f"t_{n}") - F.col(n) for n in names]
+        (ln, li), (rn, ri), (tn, ti) = self._size(left), self._size(right), self._size([F.col(f"t_{n}") for n in names])
+        gain = (ti - li - ri) / tn
+        ok = bins.withColumn("gain", gain).filter((ln >= self.min_node_size) & (rn >= self.min_node_size) & (F.col("gain") >= self.min_info_gain))
+        best = ok.groupBy(*keys).agg(F.max_by(F.struct("f", "b", F.array(*left).alias("left")), F.struct(F.round("gain", 12), -F.col("f"), -F.col("b"))).alias("best"))
+        return totals.join(best, keys, "left")
+
+    def _node(self, v: list, names: dict) -> Node:
+        n, i = self._size(v)
         if self.impurity == "gini":
-            return 1.0 - sum((v / n) ** 2 for v in s.values())
-        return max(0.0, s[2] / n - (s[1] / n) ** 2)
+            value = self._classes[max(range(len(v)), key=lambda k: v[k])]
+            return Node(float(value), n, i / n if n > 0 else 1.0, stats=tuple(zip(self._classes, v)))
+        return Node(float(v[1] / n if n else 0.0), n, max(0.0, i / n) if n > 0 else 1.0, stats=tuple(v))
 
-    def _node(self, s) -> Node:
-        n = self._size(s)
-        value = max(sorted(s), key=lambda k: s[k]) if self.impurity == "gini" else (s[1] / n if n else 0.0)
-        return Node(float(value), n, self._impurity(s), stats=tuple(sorted(s.items())) if self.impurity == "gini" else s)
 
-    def _best(self, per_feature: dict, total, node: Node, salt: int):
-        import random
+def _bin(x: Column, points: Column) -> Column:
+    return F.size(F.filter(points, lambda t: t <= x))
 
-        n = self._size(total)
-        names = sorted(per_feature)
-        if self.col_rate < 1.0:
-            names = sorted(random.Random(self.seed * 7919 + salt).sample(names, max(1, math.ceil(self.col_rate * len(names)))))
-        best = None
-        for f in names:
-            bins, left = per_feature[f], None
-            for b in sorted(bins)[:-1]:
-                left = bins[b] if left is None else self._sum([left, bins[b]])
-                right = self._minus(total, left)
-                a, c = self._size(left), self._size(right)
-                if min(a, c) < self.min_node_size:
-                    continue
-                gain = node.impurity - (a * self._impurity(left) + c * self._impurity(right)) / n
-                if gain >= self.min_info_gain and (best is None or gain > best[0] + 1e-12):
-                    best = (gain, f, b, left, right)
-        return best[1:] if best else None
+
+def binned(features: Features, points: list[list[float]]) -> Column:
+    """array<struct<f, b>>: the bins of a row's features, without those that are the bin of 0."""
+    if isinstance(features, Sparse):
+        cuts = F.array(*[F.array(*map(F.lit, p)).cast("array<double>") for p in points])
+        bins = F.zip_with(features.idx, features.val, lambda i, v: F.struct(i.cast("int").alias("f"), _bin(v, F.get(cuts, i.cast("int"))).alias("b"), v.cast("double").alias("x")))
+        zero = F.array(*[F.lit(bisect_right(p, 0.0)) for p in points])
+        kept = F.filter(bins, lambda e: (e["f"] >= 0) & (e["f"] < len(points)) & e["x"].isNotNull() & ~F.isnan(e["x"]) & (e["b"] != F.get(zero, e["f"])))
+        return F.coalesce(F.transform(kept, lambda e: F.struct(e["f"].alias("f"), e["b"].alias("b"))), F.array().cast("array<struct<f:int,b:int>>"))
+    each = []
+    for f, p in enumerate(points):
+        if p:
+            b = _bin(feature_value(features, f), F.array(*map(F.lit, p)))
+            each.append(F.when(b != bisect_right(p, 0.0), F.struct(F.lit(f).alias("f"), b.alias("b"))))
+    return F.filter(F.array(*each), lambda e: e.isNotNull()) if each else F.array().cast("array<struct<f:int,b:int>>")
 
 
 @dataclass
@@ -194,7 +228,7 @@ class Ensemble:
     """Trees with weights; `combine` is `mean`, `vote`, `sum` or (per class) `softmax`."""
 
     trees: list
-    features: list[str]
+    features: Features
     combine: str
     classes: tuple = ()
 
@@ -211,39 +245,42 @@ class Ensemble:
         return df.withColumn(out, total / len(each) if self.combine == "mean" else total)
 
 
-def random_forest(df: DataFrame, features: list[str], label: str, key: str, cart: CART | None = None, num_trees: int = 20, row_rate: float = 0.6, col_rate: float = 0.6) -> Ensemble:
-    """Trees on Poisson(row_rate) row weights, drawn by a hash of (key, tree), and a share of the features at each node."""
+def poisson_weight(key: str, tree: int | Column, rate: float, seed: int) -> Column:
+    """A repeatable Poisson draw for (row, tree), at most 6."""
+    u = uniform(F.concat_ws("/", F.col(key).cast("string"), F.lit(tree) if isinstance(tree, int) else tree.cast("string"), F.lit(str(seed))))
+    p, cum, steps, weight = math.exp(-rate), 0.0, [], F.lit(6.0)
+    for k in range(6):
+        cum += p
+        steps.append((k, cum))
+        p *= rate / (k + 1)
+    for k, c in reversed(steps):
+        weight = F.when(u < c, float(k)).otherwise(weight)
+    return weight
+
+
+def random_forest(df: DataFrame, features: Features, label: str, key: str, cart: CART | None = None, num_trees: int = 20, row_rate: float = 0.6, col_rate: float = 0.6) -> Ensemble:
+    """Trees on Poisson(row_rate) row weights, drawn by a hash of (key, tree), and a share of the features at each node; all trees are
+    grown at once."""
     cart = cart or CART()
     points = split_points(df, features, cart.max_bins)
-    trees = []
-    for t in range(num_trees):
-        u = (F.pmod(F.xxhash64(key, F.lit(t), F.lit(cart.seed)), F.lit(2**40)) + 0.5) / 2.0**40
-        p, cum, weight = math.exp(-row_rate), 0.0, F.lit(6.0)
-        steps = []
-        for k in range(6):
-            cum += p
-            steps.append((k, cum))
-            p *= row_rate / (k + 1)
-        for k, c in reversed(steps):
-            weight = F.when(u < c, float(k)).otherwise(weight)
-        grown = CART(cart.impurity, cart.max_depth, cart.max_bins, cart.min_node_size, cart.min_info_gain, col_rate, cart.seed + t)
-        trees.append(grown.fit(df.withColumn("__weight", weight), features, label, "__weight", points))
-    return Ensemble(trees, features, "vote" if cart.impurity == "gini" else "mean")
-
-
-def gbrt(df: DataFrame, features: list[str], label: str, cart: CART | None = None, num_round: int = 10, learn_rate: float = 0.02, every: int = 5, watch: DataFrame | None = None) -> tuple[Ensemble, list]:
+    rows = df.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"), binned(features, points).alias("__e"), F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))).alias("__tree"))
+    rows = rows.toDF("k", "y", "e", "tree").select("tree", "y", poisson_weight("k", F.col("tree"), row_rate, cart.seed).alias("w"), "e").filter(F.col("y").isNotNull() & (F.col("w") > 0))
+    grown = CART(cart.impurity, cart.max_depth, cart.max_bins, cart.min_node_size, cart.min_info_gain, col_rate, cart.seed)
+    return Ensemble(grown.grow(staged(rows, "forest"), points, num_trees), features, "vote" if cart.impurity == "gini" else "mean")
+
+
+def gbrt(df: DataFrame, features: Features, label: str, cart: CART | None = None, num_round: int = 10, learn_rate: float = 0.02, every: int = 5, watch: DataFrame | None = None) -> tuple[Ensemble, list]:
     """Boosted regression: the first tree counts whole, later ones on residuals times `learn_rate`.
 
-    With the RMSE after each round, or pairs of it and that of the table `watch`.
+    With the RMSE after each round, or pairs of it and that of the table `watch`. Rows are binned once for all rounds.
     """
     cart = cart or CART()
     points = split_points(df, features, cart.max_bins)
-    rows = cut(df.select(*features, F.col(label).cast("double").alias("__t")).filter(F.col("__t").isNotNull()).withColumn("__p", F.lit(0.0)))
+    rows = staged(df.select(*_columns(features), F.col(label).cast("double").alias("__t"), binned(features, points).alias("__e")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__p", F.lit(0.0))
     trees, errors = [], []
     for k in range(num_round):
-        tree = cart.fit(rows.withColumn("__r", F.col("__t") - F.col("__p")), features, "__r", points=points)
-        rate = 1.0 if k == 0 else learn_rate
-        _scale(tree, rate)
+        tree = cart.grow(rows.select(F.lit(0).alias("tree"), (F.col("__t") - F.col("__p")).alias("y"), F.lit(1.0).alias("w"), F.col("__e").alias("e")), points, 1)[0]
+        _scale(tree, 1.0 if k == 0 else learn_rate)
         trees.append(tree)
         rows = rows.withColumn("__p", F.col("__p") + tree_expression(tree, features))
         if (k + 1) % every == 0:
@@ -262,32 +299,29 @@ def _scale(node: Node, rate: float) -> None:
         _scale(node.right, rate)
 
 
-def gbdt(df: DataFrame, features: list[str], label: str, cart: CART | None = None, num_round: int = 10) -> Ensemble:
-    """Multi-class boosting: per round one tree per class on the softmax residuals; a leaf's value is
-    sum(r) / sum(|r| (1 - |r|)) * (K - 1) / K. Predicts the class of the greatest sum."""
+def gbdt(df: DataFrame, features: Features, label: str, cart: CART | None = None, num_round: int = 10) -> Ensemble:
+    """Multi-class boosting: per round one tree per class on the softmax residuals, all classes' trees grown at once; a leaf's value is
+    sum(r) / sum(|r| (1 - |r|)) * (K - 1) / K. Predicts the class of the greatest sum. Rows are binned once."""
     cart = cart or CART()
     points = split_points(df, features, cart.max_bins)
     y = F.col(label).cast("double")
     classes = tuple(r[0] for r in df.select(y.alias("y")).filter("y IS NOT NULL").distinct().orderBy("y").collect())
     k = len(classes)
-    rows = cut(df.select(*features, y.alias("__t")).filter(F.col("__t").isNotNull()).withColumns({f"__s{i}": F.lit(0.0) for i in range(k)}))
+    rows = staged(df.select(*_columns(features), y.alias("__t"), binned(features, points).alias("__e")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__s", F.array_repeat(F.lit(0.0), k))
     rounds = []
     for _ in range(num_round):
-        top = F.greatest(*[F.col(f"__s{i}") for i in range(k)]) if k > 1 else F.col("__s0")
-        total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__s{i}") - top) for i in range(k)])
-        rows = cut(rows.withColumns({f"__r{i}": F.when(F.col("__t") == c, 1.0).otherwise(0.0) - F.exp(F.col(f"__s{i}") - top) / total for i, c in enumerate(classes)}))
-        trees = []
-        for i in range(k):
-            tree = cart.fit(rows, features, f"__r{i}", points=points)
-            leaves = _leaves(tree)
-            no = _leaf_number(tree, features, {id(n): j for j, n in enumerate(leaves)})
-            r = F.col(f"__r{i}")
-            found = rows.groupBy(no.alias("leaf")).agg(F.sum(r), F.sum(F.abs(r) * (1 - F.abs(r)))).collect()  # a row per leaf
-            for leaf, a, b in found:
-                leaves[leaf].prediction = a / b * (k - 1) / k if b > 1e-12 else 0.0
-            trees.append(tree)
+        e = F.transform("__s", lambda s: F.exp(s - F.array_max("__s")))
+        total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+        truth = F.array(*[(F.col("__t") == c).cast("double") for c in classes])
+        rows = cut(rows.withColumn("__r", F.zip_with(truth, e, lambda t, x: t - x / total)))
+        trees = cart.grow(rows.select(F.posexplode("__r").alias("tree", "y"), F.lit(1.0).alias("w"), F.col("__e").alias("e")), points, k)
+        leaves = [_leaves(t) for t in trees]
+        number = F.array(*[_leaf_number(t, features, {id(n): j for j, n in enumerate(ls)}) for t, ls in zip(trees, leaves)])
+        each = rows.select(F.posexplode(F.arrays_zip(number.alias("leaf"), F.col("__r").alias("r"))).alias("tree", "x")).select("tree", "x.leaf", "x.r")
+        for tree, leaf, a, b in each.groupBy("tree", "leaf").agg(F.sum("r"), F.sum(F.abs("r") * (1 - F.abs("r")))).collect():  # a row per leaf
+            leaves[tree][leaf].prediction = a / b * (k - 1) / k if b > 1e-12 else 0.0
         rounds.append(trees)
-        rows = rows.withColumns({f"__s{i}": F.col(f"__s{i}") + tree_expression(t, features) for i, t in enumerate(trees)}).drop(*[f"__r{i}" for i in range(k)])
+        rows = rows.withColumn("__s", F.zip_with("__s", F.array(*[tree_expression(t, features) for t in trees]), lambda s, x: s + x)).drop("__r")
     return Ensemble(rounds, features, "softmax", classes)
 
 
@@ -295,13 +329,13 @@ def _leaves(n: Node) -> list[Node]:
     return [n] if n.feature < 0 else _leaves(n.left) + _leaves(n.right)
 
 
-def _leaf_number(n: Node, features: list[str], number: dict[int, int]) -> Column:
+def _leaf_number(n: Node, features: Features, number: dict[int, int]) -> Column:
     if n.feature < 0:
         return F.lit(number[id(n)])
-    return F.when(F.col(features[n.feature]).cast("double") < n.threshold, _leaf_number(n.left, features, number)).otherwise(_leaf_number(n.right, features, number))
+    return F.when(feature_value(features, n.feature) < n.threshold, _leaf_number(n.left, features, number)).otherwise(_leaf_number(n.right, features, number))
 
 
-def feature_gain(node: Node, features: list[str]) -> dict[str, float]:
+def feature_gain(node: Node, features: Features) -> dict[str, float]:
     """Impurity decrease by feature, weighted by rows."""
     if node.feature < 0:
         return {}

@@ -499,7 +499,8 @@ def run_script(spark, script, inputs, outputs):
 def libsvm_to_points(spark, input, output, is_class=True, libfm=False):
     df = readers.read_libfm(spark, input) if str(libfm).lower() == "true" else readers.read_libsvm(spark, input, str(is_class).lower() == "true")
     e = F.array_join(F.zip_with("idx", "val", lambda i, v: F.concat_ws(":", i.cast("string"), v.cast("string"))), ",")
-    writers.write_lines(df.select(F.monotonically_increasing_id().alias("id"), "label", e.alias("fs")), output)
+    df = reshape.row_ids(df.withColumn("at", F.monotonically_increasing_id()), ["at"])
+    writers.write_lines(df.select("id", "label", e.alias("fs")), output)
 
 
 @program

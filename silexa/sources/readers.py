@@ -176,13 +176,16 @@ def json_to_rates(df: DataFrame, user: str, item: str, rate: str = "") -> DataFr
 
 def num_features(df: DataFrame, idx: str = "idx") -> int:
     """One more than the greatest index of sparse rows."""
-    return int(df.agg(F.max(F.array_max(idx))).first()[0] or -1) + 1
+    top = df.agg(F.max(F.array_max(idx))).first()[0]
+    return 0 if top is None else int(top) + 1
 
 
 def to_vector(df: DataFrame, size: int, idx: str = "idx", val: str = "val", out: str = "features") -> DataFrame:
-    """`df` with an ML vector column from a pair of sparse arrays."""
-    from pyspark.ml.functions import array_to_vector
+    """`df` with a sparse ML vector column from a pair of arrays; zeros and nulls are left out, of equal indices the last counts."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    entries = F.map_from_arrays(idx, val)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0)))
-    return df.withColumn(out, array_to_vector(dense))
+    @F.udf(VectorUDT())  # no built-in expression makes a sparse vector
+    def sparse(i: list, v: list):
+        return Vectors.sparse(size, {int(k): float(x) for k, x in zip(i or [], v or []) if k is not None and x and 0 <= k < size})
+
+    return df.withColumn(out, sparse(idx, val))
