@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, staged
 
 EULER = 0.5772156649
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, size bigint"
@@ -62,7 +62,7 @@ class IsolationForest:
     seed: int = 123456
     relative_error: float = 0.0
 
-    def fit(self, df: DataFrame, features: list[str], key: str | None = None) -> IsolationForestModel:
+    def _grow(self, df: DataFrame, features: list[str], key: str | None = None) -> IsolationForestModel:
         """Grow the trees: (tree, node, feature, threshold, left, right, size) rows.
 
         Each tree's sample is drawn by a hash of (row, tree, seed): rows below a rate are exploded to their trees and the
@@ -95,10 +95,19 @@ class IsolationForest:
             return pd.DataFrame([(tree, no, int(used[f]) if f >= 0 else -1, t, a, b, s) for no, f, t, a, b, s in nodes], columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
 
         nodes = cut(rows.groupBy("tree").applyInPandas(one, _NODES))
-        model = IsolationForestModel(nodes, list(features), size, None)
-        scored = model.score(df)
-        model.threshold = scored.approxQuantile("anomaly_score", [1 - self.contamination], self.relative_error)[0] if n else None
-        return model
+        return IsolationForestModel(nodes, list(features), size, None)
+
+    def fit(self, df: DataFrame, features: list[str], key: str | None = None) -> IsolationForestModel:
+        """Grow the trees and find the score above which a row is an anomaly."""
+        return self.fit_transform(df, features, key)[0]
+
+    def fit_transform(self, df: DataFrame, features: list[str], key: str | None = None) -> tuple[IsolationForestModel, DataFrame]:
+        """The model and the table it was fitted on with `anomaly_score` and `prediction`: rows are scored once, and written."""
+        model = self._grow(df, features, key)
+        scored = staged(model.score(df), "scores")
+        q = scored.approxQuantile("anomaly_score", [1 - self.contamination], self.relative_error)
+        model.threshold = q[0] if q else None
+        return model, scored.withColumn("prediction", (F.col("anomaly_score") > F.lit(model.threshold)).cast("double"))
 
 
 @dataclass
@@ -120,9 +129,9 @@ class IsolationForestModel:
         norm = max(float(path_correction(self.size)), 1e-12)
 
         @F.pandas_udf("double")
-        def walk(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in it:
-                x = np.array(s.tolist(), float).reshape(len(s), -1)
+        def walk(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in it:
+                x = np.stack([c.to_numpy() for c in columns], axis=1)
                 total = np.zeros(len(x))
                 for feature, threshold, left, right, size in arrays:
                     at, depth = np.zeros(len(x), int), np.zeros(len(x))
@@ -137,8 +146,7 @@ class IsolationForestModel:
                     total += depth + path_correction(size[at])
                 yield pd.Series(2.0 ** (-(total / max(len(arrays), 1)) / norm))
 
-        x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in self.features])
-        return df.withColumn("anomaly_score", walk(x))
+        return df.withColumn("anomaly_score", walk(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in self.features]))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Scores with `prediction` 1.0 above the model's threshold."""

@@ -25,11 +25,11 @@ def pca_fit(df: DataFrame, features: list[str], k: int = 3) -> tuple[PipelineMod
     return model, df.sparkSession.createDataFrame(rows, "row int, explained double, sum_explained double")
 
 
-def pca_transform(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """(col1 .. colk)"""
+def pca_transform(model: PipelineModel, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(keep ..., col1 .. colk)"""
     k = model.stages[-1].getK()
-    x = model.transform(df).select(vector_to_array("pca").alias("x"))
-    return x.select(*[F.get("x", F.lit(i)).alias(f"col{i + 1}") for i in range(k)])
+    x = model.transform(df).select(*keep, vector_to_array("pca").alias("x"))
+    return x.select(*keep, *[F.get("x", F.lit(i)).alias(f"col{i + 1}") for i in range(k)])
 
 
 def chi_square_select(df: DataFrame, features: str, label: str, number: int, bin_width: float = 16.0) -> DataFrame:
@@ -69,14 +69,14 @@ def als(rates: DataFrame, k: int = 10, reg: float = 0.1, max_iter: int = 10, non
     return ALS(rank=k, regParam=reg, maxIter=max_iter, nonnegative=nonnegative, userCol="user", itemCol="item", ratingCol="rating", seed=seed, coldStartStrategy="drop").fit(rates)
 
 
-def lda_fit(df: DataFrame, words: str, k: int = 10, max_iter: int = 20, alpha: float | None = None, beta: float | None = None, optimizer: str = "online", vocabulary: int = 1 << 18, seed: int = 42) -> PipelineModel:
-    """Topics of a column of word arrays. The priors default to 50 / k and 0.01 for `em` (raised above 1 as it needs), else to the learner's."""
+def lda_fit(df: DataFrame, words: str, k: int = 10, max_iter: int = 20, alpha: float | None = None, beta: float | None = None, optimizer: str = "online", vocabulary: int | None = None, seed: int = 42) -> PipelineModel:
+    """Topics of a column of word arrays, over all its words, or the `vocabulary` most frequent ones if a number is given. The priors default to 50 / k and 0.01 for `em` (raised above 1 as it needs), else to the learner's."""
     lda = LDA(k=k, maxIter=max_iter, optimizer=optimizer, seed=seed, featuresCol="counts", topicDistributionCol="topics")
     if alpha is not None or optimizer == "em":
         lda = lda.setDocConcentration([max(alpha if alpha is not None else 50.0 / k + 1, 1.01 if optimizer == "em" else 0.0)])
     if beta is not None or optimizer == "em":
         lda = lda.setTopicConcentration(max(beta if beta is not None else 1.01, 1.01 if optimizer == "em" else 0.0))
-    return Pipeline(stages=[CountVectorizer(inputCol=words, outputCol="counts", vocabSize=vocabulary), lda]).fit(df)
+    return Pipeline(stages=[CountVectorizer(inputCol=words, outputCol="counts", vocabSize=vocabulary or 2**31 - 1), lda]).fit(df)
 
 
 def lda_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -86,9 +86,11 @@ def lda_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def lda_topics(model: PipelineModel, terms: int = 10) -> DataFrame:
     """(topic, terms, weights)"""
-    vocabulary = F.array(*[F.lit(v) for v in model.stages[0].vocabulary])
-    t = model.stages[1].describeTopics(terms)
-    return t.select("topic", F.transform("termIndices", lambda i: F.get(vocabulary, i)).alias("terms"), F.col("termWeights").alias("weights"))
+    top = model.stages[1].describeTopics(terms)
+    vocabulary = model.stages[0].vocabulary  # the model holds it; only the words that topics name are sent on
+    named = {i: vocabulary[i] for r in top.select("termIndices").collect() for i in r[0]}  # topics x terms
+    words = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    return top.select("topic", F.transform("termIndices", lambda i: F.element_at(words, i)).alias("terms"), F.col("termWeights").alias("weights"))
 
 
 def perplexity(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -101,7 +103,10 @@ def perplexity(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(lda.logLikelihood(counted), log_p, math.exp(log_p))], "log_likelihood double, log_perplexity double, perplexity double")
 
 
-def word2vec_fit(df: DataFrame, words: str, k: int = 100, learn_rate: float = 0.025, window: int = 3, max_iter: int = 5, min_count: int = 5, partitions: int = 1, seed: int = 42) -> Word2VecModel:
+def word2vec_fit(df: DataFrame, words: str, k: int = 100, learn_rate: float = 0.025, window: int = 3, max_iter: int = 5, min_count: int = 5, partitions: int | None = None, seed: int = 42) -> Word2VecModel:
+    """Skip-gram vectors; by default a partition for every 10,000 texts, at most one a core, as the vectors of partitions are averaged each round."""
+    if partitions is None:
+        partitions = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // 10_000)))
     return Word2Vec(vectorSize=k, stepSize=learn_rate, windowSize=window, maxIter=max_iter, minCount=min_count, numPartitions=partitions, inputCol=words, outputCol="vector", seed=seed).fit(df)
 
 

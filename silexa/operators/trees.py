@@ -225,7 +225,7 @@ def binned(features: Features, points: list[list[float]]) -> Column:
 
 @dataclass
 class Ensemble:
-    """Trees with weights; `combine` is `mean`, `vote`, `sum` or (per class) `softmax`."""
+    """Trees with weights; `combine` is `mean`, `vote`, `sum` or (per class) `softmax`, whose ties (to nine decimals) go to the lesser class."""
 
     trees: list
     features: Features
@@ -235,7 +235,7 @@ class Ensemble:
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if self.combine == "softmax":
             scores = [reduce(lambda a, b: a + b, [tree_expression(r[k], self.features) for r in self.trees], F.lit(0.0)) for k in range(len(self.classes))]
-            best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k")) for k, s in enumerate(scores)]))
+            best = F.array_max(F.array(*[F.struct(F.round(s, 9).alias("s"), F.lit(-k).alias("k")) for k, s in enumerate(scores)]))
             return df.withColumn(out, F.get(F.array(*map(F.lit, self.classes)), -best["k"]))
         each = [tree_expression(t, self.features) for t in self.trees]
         if self.combine == "vote":
@@ -258,11 +258,11 @@ def poisson_weight(key: str, tree: int | Column, rate: float, seed: int) -> Colu
     return weight
 
 
-def random_forest(df: DataFrame, features: Features, label: str, key: str, cart: CART | None = None, num_trees: int = 20, row_rate: float = 0.6, col_rate: float = 0.6) -> Ensemble:
+def random_forest(df: DataFrame, features: Features, label: str, key: str, cart: CART | None = None, num_trees: int = 20, row_rate: float = 0.6, col_rate: float = 0.6, points: list[list[float]] | None = None) -> Ensemble:
     """Trees on Poisson(row_rate) row weights, drawn by a hash of (key, tree), and a share of the features at each node; all trees are
     grown at once."""
     cart = cart or CART()
-    points = split_points(df, features, cart.max_bins)
+    points = points if points is not None else split_points(df, features, cart.max_bins)
     rows = df.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"), binned(features, points).alias("__e"), F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))).alias("__tree"))
     rows = rows.toDF("k", "y", "e", "tree").select("tree", "y", poisson_weight("k", F.col("tree"), row_rate, cart.seed).alias("w"), "e").filter(F.col("y").isNotNull() & (F.col("w") > 0))
     grown = CART(cart.impurity, cart.max_depth, cart.max_bins, cart.min_node_size, cart.min_info_gain, col_rate, cart.seed)
@@ -299,11 +299,11 @@ def _scale(node: Node, rate: float) -> None:
         _scale(node.right, rate)
 
 
-def gbdt(df: DataFrame, features: Features, label: str, cart: CART | None = None, num_round: int = 10) -> Ensemble:
+def gbdt(df: DataFrame, features: Features, label: str, cart: CART | None = None, num_round: int = 10, points: list[list[float]] | None = None) -> Ensemble:
     """Multi-class boosting: per round one tree per class on the softmax residuals, all classes' trees grown at once; a leaf's value is
     sum(r) / sum(|r| (1 - |r|)) * (K - 1) / K. Predicts the class of the greatest sum. Rows are binned once."""
     cart = cart or CART()
-    points = split_points(df, features, cart.max_bins)
+    points = points if points is not None else split_points(df, features, cart.max_bins)
     y = F.col(label).cast("double")
     classes = tuple(r[0] for r in df.select(y.alias("y")).filter("y IS NOT NULL").distinct().orderBy("y").collect())
     k = len(classes)
