@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from ..session import cut, staged
 
 
@@ -96,7 +97,7 @@ def influence(edges: DataFrame, seeds: list, threshold: float = 0.8, runs: int =
     front = seen
     counts: list[tuple[int, float]] = []
     for k in range(1, max_rounds + 1):
-        draw = (F.pmod(F.xxhash64(F.lit(seed), "run", "src", "dst"), F.lit(1_000_003)) + 0.5) / 1_000_003
+        draw = uniform(F.concat_ws("/", F.lit(str(seed)), F.col("run").cast("string"), F.col("src").cast("string"), F.col("dst").cast("string")))
         hit = front.withColumnRenamed("id", "src").join(e, "src").filter(draw >= threshold).select(F.col("dst").alias("id"), "run").distinct()
         front = cut(hit.join(seen, ["id", "run"], "left_anti"))
         n = front.count()

@@ -7,7 +7,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel, PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, staged
 
 
 def baskets(items: str | Column, separator: str = " ") -> Column:
@@ -21,7 +21,7 @@ def apriori(df: DataFrame, basket: str, item: str, min_support: float = 0.7, max
 
     Level by level: each frequent set of a basket is extended by the basket's greater frequent items, so that only sets whose
     prefix is frequent are built; supports are counted with partial aggregation, and rows of infrequent sets are dropped by
-    a semi-join before the next level.
+    a semi-join before the next level. Each level's sets are written once: counting and extending them read that table.
     """
     pairs = df.select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).filter(F.col("b").isNotNull() & F.col("i").isNotNull()).distinct()
     n = pairs.agg(F.count_distinct("b")).first()[0]
@@ -38,7 +38,7 @@ def apriori(df: DataFrame, basket: str, item: str, min_support: float = 0.7, max
     size = 1
     while not found[-1].isEmpty() and (max_size is None or size < max_size):
         size += 1
-        rows = rows.join(keep, "b").filter(F.col("i") > F.element_at("s", -1)).select("b", F.concat("s", F.array("i")).alias("s"))
+        rows = staged(rows.join(keep, "b").filter(F.col("i") > F.element_at("s", -1)).select("b", F.concat("s", F.array("i")).alias("s")), "level")
         level = frequent(rows, size)
         found.append(level)
         rows = rows.join(level.select("s"), "s", "left_semi")

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: The metrics of the vector summary, in report order.
 METRICS = ("mean", "sum", "variance", "std", "count", "num_non_zeros", "max", "min", "norm_l2", "norm_l1", "range", "group_interval", "variation_coefficient")
 
@@ -108,14 +110,19 @@ def statistics_report(df: DataFrame, columns: list[str], metrics: list[str] | No
     return summary(df, columns, metrics).join(density, "column", "left")
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x, count) of every distinct value."""
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _num(c).alias("x")) for c in columns]))).filter(F.col("x").isNotNull())
+    return values.groupBy("column", "x").agg(F.count("*").alias("count"))
+
+
 def ranked_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, x, count, cum, n): every distinct value with its count and the running count up to it.
 
     Rows are combined to distinct values before any shuffle; running counts go over 64 ranges of values in parallel, each
     starting from the counts of the ranges below it, so that no task holds or orders all values of a column.
     """
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _num(c).alias("x")) for c in columns]))).filter(F.col("x").isNotNull())
-    counts = values.groupBy("column", "x").agg(F.count("*").alias("count"))
+    counts = staged(value_counts(df, columns), "values")
     cuts = counts.groupBy("column").agg(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(10_000)).alias("cuts"))
     counts = counts.join(F.broadcast(cuts), "column")  # a row per column
     counts = counts.withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
@@ -126,11 +133,11 @@ def ranked_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.join(F.broadcast(sums), ["column", "r"]).select("column", "x", "count", (F.sum("count").over(inside) + F.col("base")).alias("cum"), "n")
 
 
-def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("mode", "median", "mean"), quantiles: list[float] = (0.25, 0.5, 0.75, 1.0), accuracy: int | None = None) -> DataFrame:
+def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("mode", "median", "mean"), quantiles: list[float] = (0.25, 0.5, 0.75, 1.0), accuracy: int | None = 10_000) -> DataFrame:
     """(metric, one column each): mode (ties: the least value), median, any built-in aggregate, and `quantile-p` rows.
 
-    Mode, median and the nearest-rank quantiles are exact, from one table of value counts; with `accuracy` quantiles are
-    approximate with a relative error of 1 / accuracy, from the one aggregate that gives the other metrics.
+    Median and nearest-rank quantiles have a relative rank error of 1 / accuracy, from the one aggregate that gives the other
+    metrics; only the mode needs the counts of all values. With `accuracy` None they are exact, from the same counts.
     """
     known = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "stddev": F.stddev_samp, "variance": F.var_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
     for m in metrics:
@@ -141,7 +148,9 @@ def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("m
     rank = lambda r: (F.col("cum") - F.col("count") < r) & (F.col("cum") >= r)
     if "mode" in metrics:
         ranked["mode"] = F.max_by("x", F.struct("count", -F.col("x")))
-    if "median" in metrics:
+    if "median" in metrics and accuracy:
+        direct["median"] = [F.percentile_approx(_num(c), F.lit(0.5), F.lit(accuracy)) for c in columns]
+    elif "median" in metrics:
         lo, hi = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
         ranked["median"] = (F.max(F.when(rank(lo), F.col("x"))) + F.max(F.when(rank(hi), F.col("x")))) / 2
     for p in quantiles:
@@ -154,7 +163,7 @@ def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("m
         row = df.agg(*[e.cast("double").alias(f"{m}__{c}") for m, es in direct.items() for c, e in zip(columns, es)])
         parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"`{m}__{c}`").alias(c) for c in columns]) for m in direct]))))
     if ranked:
-        per = ranked_values(df, columns).groupBy("column").agg(*[e.alias(m) for m, e in ranked.items()])
+        per = (value_counts(df, columns) if accuracy else ranked_values(df, columns)).groupBy("column").agg(*[e.alias(m) for m, e in ranked.items()])
         long = per.select("column", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("v")) for m in ranked])))
         parts.append(long.groupBy("metric").pivot("column", columns).agg(F.first("v")))
     return reduce(DataFrame.unionByName, parts)

@@ -93,33 +93,47 @@ def feature_min_max(spark, d):
     return _r(text.min_max_transform(long, text.min_max_fit(long), "id"), 6)
 
 
+#: Sets of at least so many orders per million; the rules' least confidence.
+SUPPORT, CONFIDENCE = 180, 0.05
+
+
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).alias("item"))
+    """Orders with their parts."""
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"))
+
+
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
+    return _baskets(spark, d).groupBy("l_orderkey").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
 
 
 def rules_apriori(spark, d):
-    return _r(rules.apriori(_baskets(spark, d), "l_orderkey", "item", 0.02, 3), 8).drop("size").withColumn("items", F.col("items"))
+    return _r(rules.apriori(_baskets(spark, d), "l_orderkey", "item", SUPPORT / 1e6), 8).drop("size")
+
+
+def rules_brands(spark, d):
+    """Brands of an order: many frequent sets of up to three."""
+    b = _baskets(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand"), "item")
+    return _r(rules.apriori(b, "l_orderkey", "p_brand", 0.004, 3), 8).drop("size")
 
 
 def rules_association(spark, d):
-    return _r(rules.rules_of(rules.apriori(_baskets(spark, d), "l_orderkey", "item", 0.02, 2), 0.1), 8)
+    return _r(rules.rules_of(rules.apriori(_baskets(spark, d), "l_orderkey", "item", SUPPORT / 1e6), CONFIDENCE), 8)
 
 
 def rules_fp_growth(spark, d):
-    b = _baskets(spark, d).groupBy("l_orderkey").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    f = rules.fp_growth(b, "items", 0.02, 0.1).freqItemsets
-    return f.filter(F.size("items") <= 2).select(F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("count"))
+    f = rules.fp_growth(_arrays(spark, d), "items", SUPPORT / 1e6, CONFIDENCE).freqItemsets
+    return f.select(F.array_join(F.array_sort("items"), ",").alias("items"), F.col("freq").alias("count"))
 
 
 def rules_fp_predict(spark, d):
-    b = _baskets(spark, d).groupBy("l_orderkey").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    return rules.fp_predict(rules.fp_growth(b, "items", 0.02, 0.1), b).select("l_orderkey", "items", "prediction")
+    b = _arrays(spark, d)
+    return rules.fp_predict(rules.fp_growth(b, "items", SUPPORT / 1e6, CONFIDENCE), b).select("l_orderkey", "items", "prediction")
 
 
 def rules_prefix_span(spark, d):
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))).alias("x"))
     s = s.select(F.transform("x", lambda e: F.array(e["o_orderpriority"])).alias("sequence"))
-    p = rules.prefix_span(s, "sequence", 0.2, 2)
+    p = rules.prefix_span(s, "sequence", 0.2, 3)
     return p.select(F.array_join(F.transform("sequence", lambda x: F.array_join(x, "+")), ">").alias("pattern"), "freq")
 
 
@@ -135,15 +149,19 @@ def scalar_math(spark, d):
 
 
 _W = "WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9\\-]{2,})', 1) AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d) "
-_B = "WITH b AS (SELECT DISTINCT l_orderkey AS b, CAST(l_partkey % 20 AS VARCHAR) AS i FROM lineitem), n AS (SELECT count(DISTINCT b) AS n FROM b) "
-_L1 = "l1 AS (SELECT i, count(*) AS c FROM b GROUP BY i HAVING count(*) >= (SELECT 0.02 * n FROM n)), "
-_L2 = "l2 AS (SELECT x.i AS i, y.i AS j, count(*) AS c FROM b x JOIN b y ON x.b = y.b AND x.i < y.i GROUP BY ALL HAVING count(*) >= (SELECT 0.02 * n FROM n)) "
+_B = "WITH b AS (SELECT DISTINCT l_orderkey AS b, CAST(l_partkey AS VARCHAR) AS i FROM lineitem), n AS (SELECT count(DISTINCT b) AS n FROM b), least AS (SELECT n * 0.00018 - 1e-9 AS least FROM n) "
+_L1 = "l1 AS (SELECT i, count(*) AS c FROM b GROUP BY i HAVING count(*) >= (SELECT least FROM least)), "
+_L2 = "l2 AS (SELECT x.i AS i, y.i AS j, count(*) AS c FROM b x JOIN b y ON x.b = y.b AND x.i < y.i GROUP BY ALL HAVING count(*) >= (SELECT least FROM least)), "
+_L3 = "l3 AS (SELECT x.i AS i, y.i AS j, z.i AS k, count(*) AS c FROM b x JOIN b y ON x.b = y.b AND x.i < y.i JOIN b z ON y.b = z.b AND y.i < z.i GROUP BY ALL HAVING count(*) >= (SELECT least FROM least)), u AS (SELECT i AS items, c FROM l1 UNION ALL SELECT i || ',' || j, c FROM l2 UNION ALL SELECT i || ',' || j || ',' || k, c FROM l3) "
+#: Rules of sets of up to three items.
+_RULES = """, r AS (SELECT [i] AS a, j AS k, c FROM l2 UNION ALL SELECT [j], i, c FROM l2 UNION ALL SELECT [i, j], k, c FROM l3 UNION ALL SELECT [i, k], j, c FROM l3 UNION ALL SELECT [j, k], i, c FROM l3),
+q AS (SELECT a AS antecedent, r.k AS consequent, r.c / x.c AS confidence, r.c / x.c / (y.c / n) AS lift, r.c / n AS support FROM r JOIN u x ON x.items = array_to_string(a, ',') JOIN l1 y ON y.i = r.k, n WHERE r.c / x.c >= 0.05) """
 
 QUERIES = {
     f.__name__: f
     for f in (
         text_clean, text_segment, text_term_counts, text_bigram_counts, text_biterm_counts, text_document_frequency, text_word_filter, text_word_index, text_word_index_transform, text_idf, text_tf_idf,
-        feature_merge, feature_index, feature_index_transform, feature_min_max, rules_apriori, rules_association, rules_fp_growth, rules_fp_predict, rules_prefix_span, scalar_time, scalar_math,
+        feature_merge, feature_index, feature_index_transform, feature_min_max, rules_apriori, rules_brands, rules_association, rules_fp_growth, rules_fp_predict, rules_prefix_span, scalar_time, scalar_math,
     )
 }
 SQL = {
@@ -167,15 +185,18 @@ SQL = {
     "feature_index_transform": "SELECT CAST(o_orderkey AS VARCHAR) AS id, '0,1' AS ids, round(o_totalprice + year(o_orderdate), 2) AS total FROM orders",
     "feature_min_max": """WITH f AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'price' AS feature, o_totalprice AS v FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'year', CAST(year(o_orderdate) AS DOUBLE) FROM orders)
       SELECT id, feature, round((v - min(v) OVER (PARTITION BY feature)) / (max(v) OVER (PARTITION BY feature) - min(v) OVER (PARTITION BY feature) + 1e-10), 6) AS value FROM f""",
-    "rules_apriori": _B + ", " + _L1 + _L2 + """, l3 AS (SELECT x.i AS i, y.i AS j, z.i AS k, count(*) AS c FROM b x JOIN b y ON x.b = y.b AND x.i < y.i JOIN b z ON y.b = z.b AND y.i < z.i GROUP BY ALL HAVING count(*) >= (SELECT 0.02 * n FROM n)),
-      u AS (SELECT i AS items, c FROM l1 UNION ALL SELECT i || ',' || j, c FROM l2 UNION ALL SELECT i || ',' || j || ',' || k, c FROM l3) SELECT items, c AS count, round(c / n, 8) AS support FROM u, n""",
-    "rules_association": _B + ", " + _L1 + _L2 + """, r AS (SELECT i AS antecedent, j AS consequent, c FROM l2 UNION ALL SELECT j, i, c FROM l2)
-      SELECT antecedent, consequent, round(r.c / a.c, 8) AS confidence, round(r.c / a.c / (k.c / n), 8) AS lift, round(r.c / n, 8) AS support FROM r JOIN l1 a ON a.i = antecedent JOIN l1 k ON k.i = consequent, n WHERE r.c / a.c >= 0.1""",
-    "rules_fp_growth": _B + ", " + _L1 + _L2 + "SELECT i AS items, c AS count FROM l1 UNION ALL SELECT i || ',' || j, c FROM l2",
+    "rules_apriori": _B + ", " + _L1 + _L2 + _L3 + "SELECT items, c AS count, round(c / n, 8) AS support FROM u, n",
+    "rules_brands": _B.replace("CAST(l_partkey AS VARCHAR) AS i FROM lineitem", "p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey").replace("0.00018", "0.004") + ", " + _L1 + _L2 + _L3 + "SELECT items, c AS count, round(c / n, 8) AS support FROM u, n",
+    "rules_association": _B + ", " + _L1 + _L2 + _L3 + _RULES + "SELECT array_to_string(antecedent, ',') AS antecedent, consequent, round(confidence, 8) AS confidence, round(lift, 8) AS lift, round(support, 8) AS support FROM q",
+    "rules_fp_growth": _B + ", " + _L1 + _L2 + _L3 + "SELECT items, c AS count FROM u",
+    "rules_fp_predict": _B + ", " + _L1 + _L2 + _L3 + _RULES + """, s AS (SELECT b, list(i ORDER BY i) AS s FROM b GROUP BY b),
+      p AS (SELECT b, list(DISTINCT consequent ORDER BY consequent) AS p FROM s JOIN b USING (b) JOIN q ON i = antecedent[1] AND list_has_all(s, antecedent) AND NOT list_contains(s, consequent) GROUP BY b)
+      SELECT b AS l_orderkey, array_to_string(s, ' ') AS items, coalesce(array_to_string(p, ' '), '') AS prediction FROM s LEFT JOIN p USING (b)""",
     "scalar_time": "SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(week(ts) AS INTEGER) AS week, CAST(isodow(ts) AS INTEGER) AS weekday, CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute FROM events",
     "scalar_math": "WITH x AS (SELECT event_id, value / 50 - 1 AS x FROM events) SELECT event_id, round(1 / (1 + exp(-x)), 8) AS sigmoid, round(CASE WHEN x * 10 > 6 THEN 1.0 WHEN x * 10 < -6 THEN 0.0 ELSE 1 / (1 + exp(-x * 10)) END, 8) AS clamped, round(x * x, 8) AS square FROM x",
 }
 _PATTERNS = """WITH s AS (SELECT o_custkey, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders), n AS (SELECT 0.2 * count(DISTINCT o_custkey) AS least FROM s),
-f AS (SELECT p AS pattern, count(DISTINCT o_custkey) AS freq FROM s GROUP BY p UNION ALL SELECT x.p || '>' || y.p, count(DISTINCT x.o_custkey) FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.k < y.k GROUP BY 1)
+f AS (SELECT p AS pattern, count(DISTINCT o_custkey) AS freq FROM s GROUP BY p UNION ALL SELECT x.p || '>' || y.p, count(DISTINCT x.o_custkey) FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.k < y.k GROUP BY 1
+  UNION ALL SELECT x.p || '>' || y.p || '>' || z.p, count(DISTINCT x.o_custkey) FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.k < y.k JOIN s z ON z.o_custkey = y.o_custkey AND y.k < z.k GROUP BY 1)
 SELECT pattern, freq FROM f, n WHERE freq >= least"""
 SQL["rules_prefix_span"] = _PATTERNS
