@@ -68,14 +68,18 @@ def uniform(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def _draw(key: str | Column, seed: int) -> Column:
+    return uniform(F.concat_ws("/", _c(key).cast("string"), F.lit(str(seed))))
+
+
 def bernoulli(p: float, key: str | Column, seed: int = 42) -> Column:
     """A repeatable draw per key."""
-    return (F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(2**40)) + 0.5) / 2.0**40 < p
+    return _draw(key, seed) < p
 
 
 def multinomial(weights: list[float], key: str | Column, seed: int = 42) -> Column:
     """A repeatable index drawn per key in proportion to the weights, by the inverse of their running sums."""
-    u = (F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(2**40)) + 0.5) / 2.0**40 * sum(weights)
+    u = _draw(key, seed) * sum(weights)
     out: Column = F.lit(len(weights) - 1)
     for i in range(len(weights) - 2, -1, -1):
         out = F.when(u < sum(weights[: i + 1]), i).otherwise(out)
@@ -86,7 +90,7 @@ def poisson(rate: float, key: str | Column, seed: int = 42, most: int = 12) -> C
     """A repeatable Poisson draw per key, at most `most`."""
     import math
 
-    u = (F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(2**40)) + 0.5) / 2.0**40
+    u = _draw(key, seed)
     cum, p, steps = 0.0, math.exp(-rate), []
     for k in range(most):
         cum += p

@@ -32,10 +32,10 @@ def _noise(fid: Column, k: int, seed: int, scale: float) -> Column:
 
 
 # --- softmax regression ---------------------------------------------------------------------------------------------
-def softmax_start(features: DataFrame, classes: int) -> DataFrame:
-    """(fid, w0, w1, ...) all zero, with the bias as feature -1."""
+def softmax_start(features: DataFrame, classes: int, spread: float = 0.0, seed: int = 42) -> DataFrame:
+    """(fid, w0, w1, ...) with the bias as feature -1: all zero, or drawn from [-spread, spread)."""
     ids = features.select("fid").distinct().union(features.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("fid")))
-    return ids.select("fid", *[F.lit(0.0).alias(f"w{c}") for c in range(classes)])
+    return ids.select("fid", *[(_noise(F.col("fid"), c, seed, spread) if spread else F.lit(0.0)).alias(f"w{c}") for c in range(classes)])
 
 
 def _with_bias(features: DataFrame) -> DataFrame:
@@ -58,11 +58,16 @@ def softmax_step(features: DataFrame, labels: DataFrame, params: DataFrame, clas
     return params.join(g, "fid", "left").select("fid", *[(F.col(f"w{c}") + rate * (F.coalesce(f"g{c}", F.lit(0.0)) - reg * F.col(f"w{c}"))).alias(f"w{c}") for c in range(classes)])
 
 
-def softmax_fit(features: DataFrame, labels: DataFrame, classes: int, learn_rate: float = 0.01, reg: float = 0.01, max_iter: int = 10) -> DataFrame:
-    """Multinomial logistic regression from zero weights, learning rate / sqrt(round). Returns (fid, w0, ...), bias as -1."""
+def softmax_fit(features: DataFrame, labels: DataFrame, classes: int, learn_rate: float = 0.01, reg: float = 0.01, max_iter: int = 10, spread: float = 0.0, summed: bool = False) -> DataFrame:
+    """Multinomial logistic regression, learning rate / sqrt(round). Returns (fid, w0, ...), bias as -1.
+
+    It starts from zero weights, or from draws of up to `spread`. Gradients are means over the rows, or with `summed` their sums, for which
+    learning rates must shrink with the table.
+    """
     f = staged(_with_bias(features), "features")
     n = max(labels.count(), 1)
-    params = cut(softmax_start(features, classes))
+    n = 1 if summed else n
+    params = cut(softmax_start(features, classes, spread))
     for k in range(max_iter):
         params = cut(softmax_step(f, labels, params, classes, n, learn_rate / (k + 1) ** 0.5, reg))
     return params

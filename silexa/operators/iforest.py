@@ -131,7 +131,7 @@ class IsolationForestModel:
         @F.pandas_udf("double")
         def walk(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in it:
-                x = np.stack([c.to_numpy() for c in columns], axis=1)
+                x = np.stack([c.to_numpy() for c in (columns if isinstance(columns, tuple) else (columns,))], axis=1)
                 total = np.zeros(len(x))
                 for feature, threshold, left, right, size in arrays:
                     at, depth = np.zeros(len(x), int), np.zeros(len(x))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from ..session import staged
 
 
@@ -106,11 +107,19 @@ def random_split(df: DataFrame, ratio: float = 0.5, seed: int = 42) -> tuple[Dat
 
 
 def hash_split(df: DataFrame, key: str, ratio: float = 0.5, buckets: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Two parts by a hash of the key: the same row falls on the same side in every run, and equal keys together."""
-    side = F.pmod(F.xxhash64(key), F.lit(buckets)) < F.lit(round(ratio * buckets))
+    """Two parts by a digest of the key: the same row falls on the same side in every run and engine, and equal keys together; rows of a
+    null key are in the second."""
+    side = F.floor(uniform(F.col(key).cast("string")) * buckets) < F.lit(round(ratio * buckets))
     return df.filter(side), df.filter(~side | F.col(key).isNull())
 
 
+def add_column(df: DataFrame, values: list, name: str, kind: str) -> DataFrame:
+    """`df` with a column of the given values, one for each row in the rows' order; rows beyond the values get null."""
+    numbered = row_ids(df.withColumn("__at", F.monotonically_increasing_id()), ["__at"], "__id").drop("__at")
+    column = df.sparkSession.createDataFrame(list(enumerate(values)), f"__id bigint, `{name}` {kind}")
+    return numbered.join(column, "__id", "left").drop("__id")
+
+
 def sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """A random sample without replacement."""
     return df.sample(False, fraction, seed)

@@ -232,6 +232,12 @@ def pivot(df: DataFrame, group: str, pivot_column: str, value: str, values: list
     return (g.pivot(pivot_column, values) if values else g.pivot(pivot_column)).sum(value).na.fill(0)
 
 
+def lower_median(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, median): the lower of the two middle values, so always one that occurs."""
+    row = df.agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))").alias(f"{c}__median") for c in columns])
+    return _unpivot(row, columns, ["median"])
+
+
 def counter(df: DataFrame, column: str) -> DataFrame:
     """(item, count)"""
     return df.groupBy(F.col(column).alias("item")).count()

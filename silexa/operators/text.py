@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .reshape import row_ids
+
 #: Tokens of an English text: at least two letters, digits or hyphens.
 TOKEN = r"([a-z0-9\-]{2,})"
 
@@ -79,18 +81,10 @@ def filter_words(df: DataFrame, key: str, words: str, bad: DataFrame) -> DataFra
 def index_fit(df: DataFrame, items: str) -> DataFrame:
     """(term, id): ids from 0 in alphabetical order, of the distinct items of an array column.
 
-    Numbers are given per range of terms, each range starting from the sizes of those before it.
+    Terms are range-partitioned, and each range starts from the sizes of those before it, however alike the terms begin.
     """
     terms = df.select(F.explode(items).alias("term")).filter(F.col("term").isNotNull()).distinct()
-    return _numbered(terms)
-
-
-def _numbered(terms: DataFrame) -> DataFrame:
-    parts = terms.groupBy(F.substring("term", 1, 2).alias("p")).count()
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # of distinct two-letter starts
-    parts = parts.select("p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    at = F.row_number().over(Window.partitionBy("p").orderBy("term")) - 1
-    return terms.withColumn("p", F.substring("term", 1, 2)).join(parts, "p").select("term", (at + F.col("start")).cast("bigint").alias("id"))
+    return row_ids(terms, ["term"])
 
 
 def index_transform(df: DataFrame, key: str, words: str, index: DataFrame) -> DataFrame:
@@ -134,9 +128,11 @@ def feature_merge(first: DataFrame, *others: DataFrame) -> DataFrame:
         both = both.unionByName(t)
     label = F.when(F.col("label").isNotNull() & ~F.isnan("label"), F.col("label"))
     g = both.groupBy("id").agg(F.min_by(label, F.when(label.isNotNull(), F.col("t"))).alias("label"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("t", F.map_entries("features").alias("f")))), lambda s: s["f"])).alias("e"))
-    # of equal features the last entry counts
-    last = F.filter("e", lambda x, i: ~F.exists(F.slice(F.col("e"), i + 2, F.size("e")), lambda y: y["key"] == x["key"]))
-    return g.select("id", "label", F.map_from_entries(last).alias("features"))
+    # of equal features the last entry counts: entries sorted by name and place are compared with the next one only
+    placed = F.array_sort(F.transform("e", lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+    g = g.select("id", "label", placed.alias("e"))
+    last = F.filter("e", lambda x, i: ~F.coalesce(F.get("e", i + 1)["key"] == x["key"], F.lit(False)))
+    return g.select("id", "label", F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"]))).alias("features"))
 
 
 def min_max_fit(df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:

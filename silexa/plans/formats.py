@@ -144,12 +144,49 @@ def reshape_shift_labels(spark, d):
 
 def reshape_hash_split(spark, d):
     a, b = reshape.hash_split(table(spark, d, "orders"), "o_orderkey", 0.3)
-    return a.select("o_orderkey").union(b.select("o_orderkey"))
+    return a.select("o_orderkey", F.lit("first").alias("part")).union(b.select("o_orderkey", F.lit("second").alias("part")))
 
 
 def reshape_random_split(spark, d):
-    a, b = reshape.random_split(table(spark, d, "orders"), 0.3)
-    return a.agg(F.count("*").alias("n")).withColumn("part", F.lit("first")).union(b.agg(F.count("*").alias("n")).withColumn("part", F.lit("second")))
+    """Rows of both parts, rows in both, and whether the first has about its share."""
+    a, b = (x.select("o_orderkey") for x in reshape.random_split(table(spark, d, "orders"), 0.3))
+    n = a.withColumn("p", F.lit(1)).union(b.withColumn("p", F.lit(2))).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    return n.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("twice"), (F.abs(F.avg((F.col("p") == 1).cast("double")) - 0.3) < 0.03).alias("share"))
+
+
+def reshape_sample(spark, d):
+    """Whether a sample has about its share of the rows, and each at most once."""
+    s = reshape.sample(table(spark, d, "orders"), 0.2).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("k"))
+    return s.crossJoin(table(spark, d, "orders").agg(F.count("*").alias("rows"))).select("rows", (F.col("n") == F.col("k")).alias("once"), (F.abs(F.col("n") / F.col("rows") - 0.2) < 0.03).alias("share"))
+
+
+def reshape_add_column(spark, d):
+    """A list beside the rows of a table in the order of its file."""
+    n = table(spark, d, "nation").coalesce(1).orderBy("n_nationkey")
+    return reshape.add_column(n.select("n_nationkey"), [f"v{i}" for i in range(20)], "extra", "string")
+
+
+def reshape_row_normalize_ids(spark, d):
+    """Lines without an id get consecutive ones."""
+    lines = reshape.row_normalize(table(spark, d, "part"), "p_name")
+    x = lines.select(F.substring_index("line", "\t", 1).cast("bigint").alias("id"))
+    return x.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def format_libfm(spark, d):
+    """LibFM lines: labels and indices are kept as they are."""
+    li = table(spark, d, "lineitem")
+    path = stage_path(spark, "libfm")
+    writers.write_lines(li.select(F.concat_ws(" ", F.when(F.col("l_returnflag") == "A", "-1").otherwise("3"), F.concat(F.lit("0:"), F.col("l_quantity")), F.concat(F.lit("7:"), F.col("l_tax")))), path)
+    back = readers.read_libfm(spark, path)
+    return back.groupBy("label").agg(F.count("*").alias("n"), F.max(F.array_max("idx")).alias("last"), *[F.round(F.sum(F.get("val", F.lit(i))), 2).alias(c) for i, c in enumerate(("l_quantity", "l_tax"))])
+
+
+def format_docs(spark, d):
+    """Lines of words as numbers; others are dropped."""
+    t = table(spark, d, "docs").filter("rec_id IS NOT NULL AND words IS NOT NULL")
+    lines = t.select(F.concat_ws("\t", "rec_id", F.lit("1"), F.array_join(F.transform("words", lambda w: F.coalesce(w.cast("string"), F.lit("x"))), " ")).alias("value"))
+    return readers.parse_docs(lines).select("id", F.size("words").alias("n"), F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")).distinct()
 
 
 _AGG = "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS price, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1"
@@ -158,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         format_csv, format_tsv, format_json, format_libsvm, format_labeled_points, format_raw_docs, format_raw_points, format_rates, format_svd_points, format_edges, format_json_points, format_json_rates,
-        reshape_choose_columns, reshape_sql_script, reshape_sql_window, reshape_transpose, reshape_restore_names, reshape_row_ids, reshape_row_normalize, reshape_shift_labels, reshape_hash_split, reshape_random_split,
+        reshape_choose_columns, reshape_sql_script, reshape_sql_window, reshape_transpose, reshape_restore_names, reshape_row_ids, reshape_row_normalize, reshape_shift_labels, reshape_hash_split, reshape_random_split, reshape_sample, reshape_add_column, reshape_row_normalize_ids, format_libfm, format_docs,
     )
 }
 SQL = {
@@ -182,5 +219,11 @@ SQL = {
     "reshape_row_ids": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS id FROM orders",
     "reshape_row_normalize": "SELECT CAST(p_partkey AS VARCHAR) || chr(9) || 'NaN' || chr(9) || p_name AS line FROM part",
     "reshape_shift_labels": "SELECT p_partkey, CAST(p_size % 4 AS DOUBLE) AS y FROM part",
-    "reshape_hash_split": "SELECT o_orderkey FROM orders",
+    "reshape_hash_split": "SELECT o_orderkey, CASE WHEN floor(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 1000) < 300 THEN 'first' ELSE 'second' END AS part FROM orders",
+    "reshape_random_split": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS twice, true AS share FROM orders",
+    "reshape_sample": "SELECT count(*) AS rows, true AS once, true AS share FROM orders",
+    "reshape_add_column": "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 'v' || n_nationkey END AS extra FROM nation",
+    "reshape_row_normalize_ids": "SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM part",
+    "format_libfm": "SELECT CASE l_returnflag WHEN 'A' THEN -1.0::DOUBLE ELSE 3.0 END AS label, count(*) AS n, 7 AS last, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax FROM lineitem GROUP BY 1",
+    "format_docs": "SELECT DISTINCT rec_id AS id, CAST(len(list_filter(words, lambda x: x IS NOT NULL)) AS INTEGER) AS n, CAST(coalesce(list_sum(words), 0) AS BIGINT) AS total FROM docs WHERE rec_id IS NOT NULL AND words IS NOT NULL",
 }

@@ -60,6 +60,10 @@ def stats_central_approximate(spark, d):
     return v.select("column", "metric", "n", ((F.col("below") <= (p + 0.001) * F.col("n")) & (F.col("upto") >= (p - 0.001) * F.col("n"))).alias("within"))
 
 
+def stats_lower_median(spark, d):
+    return stats.lower_median(_li(spark, d), COLS)
+
+
 def stats_deviation(spark, d):
     return _r(stats.deviation(_li(spark, d), COLS), 6)
 
@@ -137,7 +141,7 @@ _TWO = "WITH a AS (SELECT * FROM lineitem WHERE l_returnflag = 'A'), r AS (SELEC
 QUERIES = {
     f.__name__: f
     for f in (
-        stats_summary, stats_weighted, stats_transposed, stats_histogram, stats_report, stats_central, stats_central_approximate, stats_deviation, stats_z_score, stats_covariance, stats_mean_estimation,
+        stats_summary, stats_weighted, stats_transposed, stats_histogram, stats_report, stats_central, stats_central_approximate, stats_lower_median, stats_deviation, stats_z_score, stats_covariance, stats_mean_estimation,
         stats_variance_estimation, stats_mean_difference, stats_variance_ratio, stats_ratio, stats_ratio_difference, stats_pivot, stats_counter, stats_top_items, stats_group_by_cube,
     )
 }
@@ -158,6 +162,7 @@ SELECT g."column", g.bin, round(lo + g.bin * w, 6) AS lo, round(lo + g.bin * w +
     "stats_report": _each("'{c}' AS \"column\", round(avg({c}), 4) AS mean, 10 AS bins, count({c}) AS counted"),
     "stats_central": _rows({"mode": _MODE, "median": "median({c})", "mean": "avg({c})", "max": "max({c})", **{f"quantile-{p}": f"quantile_disc({{c}}, {p})" for p in (0.25, 0.5, 0.75, 1.0)}}),
     "stats_central_approximate": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", unnest(['median', 'quantile-0.25', 'quantile-0.5', 'quantile-0.75', 'quantile-1.0']) AS metric, count({c}) AS n, true AS within FROM lineitem" for c in COLS),
+    "stats_lower_median": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS median FROM lineitem" for c in COLS),
     "stats_deviation": _rows({"skewness": _SKEW, "kurtosis": "kurtosis_pop({c})", "mean": "avg({c})", "stddev": "stddev_samp({c})"}),
     "stats_z_score": "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity_zscore FROM lineitem",
     "stats_covariance": " UNION ALL ".join(f"SELECT '{a}' AS dim, " + ", ".join(f"round(covar_samp({a}, {b}), 4) + 0.0::DOUBLE AS {b}" for b in COLS) + " FROM lineitem" for a in COLS),

@@ -76,6 +76,74 @@ def test_cart_classes_and_expression(numbers):
     assert trees.feature_gain(tree, ["x", "y"])["x"] > 0
 
 
+def test_nulls_are_scored_as_they_are_trained(spark):
+    """Null and NaN count as 0: rows of them get the mean of the leaf in which they were."""
+    rows = [(None, 10.0)] * 20 + [(float("nan"), 10.0)] * 20 + [(1.0, 10.0)] * 40 + [(9.0, 90.0)] * 40
+    d = spark.createDataFrame(rows, "x double, y double")
+    tree = trees.CART("variance", 1).fit(d, ["x"], "y")
+    assert {(r["y"], r["p"]) for r in d.withColumn("p", trees.tree_expression(tree, ["x"])).collect()} == {(10.0, 10.0), (90.0, 90.0)}
+    assert tree.threshold == 5.0  # of few values all thresholds are tried, midway
+    boosted, errors = trees.gbrt(d, ["x"], "y", trees.CART("variance", 1), 2, 1.0)
+    assert errors[-1] == pytest.approx(0.0) and boosted.transform(d).filter("abs(prediction - y) > 1e-9").count() == 0
+    many = trees.gbdt(d, ["x"], "y", trees.CART("variance", 1), 1)
+    assert many.transform(d).filter("prediction <> y").count() == 0
+
+
+def test_a_feature_may_be_called_like_any_column(spark):
+    d = spark.createDataFrame([(float(i % 7), float(i % 5), float(i % 2), i % 7 > 3, 1.0) for i in range(200)], "y double, w double, tree double, leaf boolean, e double")
+    tree = trees.CART("variance", 2).fit(d.withColumn("leaf", F.col("leaf").cast("double")), ["y", "w", "tree"], "leaf")
+    assert (tree.feature, tree.threshold) == (0, 3.5) and tree.left.prediction == 0.0 and tree.right.prediction == 1.0
+
+
+@pytest.mark.parametrize("kind", ["variance", "gini"])
+def test_sparse_features_give_the_same_tree(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 4, (300, 6)) * (rng.random((300, 6)) < 0.4)
+    y = (x[:, 1] > 0) * 2.0 + (x[:, 4] < 0)
+    dense = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"f{i} double" for i in range(6)) + ", t double")
+    names = [f"f{i}" for i in range(6)]
+    pairs = [([int(i) for i in rng.permutation(6) if r[i] or i == 3], float(v), r) for r, v in zip(x, y)]
+    sparse = spark.createDataFrame([(i, [float(r[k]) for k in i], v) for i, v, r in pairs], "idx array<int>, val array<double>, t double")
+    a, b = trees.CART(kind, 3, 32, 5).fit(dense, names, "t"), trees.CART(kind, 3, 32, 5).fit(sparse, trees.Sparse("idx", "val", 6), "t")
+    assert trees.print_tree(a, names) == trees.print_tree(b, names) and a.depth() > 1
+    out = sparse.withColumn("p", trees.tree_expression(b, trees.Sparse("idx", "val", 6)))
+    assert out.filter("p = t").count() > 250 or kind == "variance"
+
+
+def test_forest_stage(numbers, tmp_path, spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from silexa.operators.iforest_ml import IForest, IForestModel
+
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x", "y"], outputCol="features"), IForest(numTrees=20, maxSamples=128.0, contamination=0.02, seed=1)]).fit(numbers)
+    out = model.transform(numbers)
+    assert {r["id"] for r in out.filter("prediction = 1").collect()} == set(range(8)) and {"anomalyScore", "features"} <= set(out.columns)
+    model.stages[1].write().overwrite().save(str(tmp_path / "stage"))
+    again = IForestModel.load(str(tmp_path / "stage"))
+    assert again.getOrDefault("contamination") == 0.02 and again.summary(model.stages[0].transform(numbers)).first()["anomalies"] == 8
+    with pytest.raises(ValueError, match="already"):
+        again.transform(out)
+    with pytest.raises(ValueError, match="missing"):
+        again.transform(numbers)
+
+
+def test_k_shell_against_peeling(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 40, (150, 2)) if a != b}
+    left, want, k = set(pairs), {}, 0
+    ids = {x for p in pairs for x in p}
+    while ids:
+        degree = {i: sum(i in p for p in left) for i in ids}
+        k = max(k, min(degree.values()))
+        out = {i for i in ids if degree[i] <= k}
+        want |= dict.fromkeys(out, k)
+        ids -= out
+        left = {p for p in left if not out & set(p)}
+    e = graph.load_edges(spark.createDataFrame(list(pairs), "src bigint, dst bigint"))
+    assert {r["id"]: r["shell"] for r in graph.k_shell(e).collect()} == want
+
+
 def test_cart_with_one_value_is_a_leaf(spark):
     d = spark.createDataFrame([(1.0, float(i)) for i in range(40)], "x double, t double")
     tree = trees.CART().fit(d, ["x"], "t")

@@ -36,6 +36,8 @@ def test_libsvm(spark, tmp_path):
     writers.write_libsvm(spark.createDataFrame([(1.0, [3, 0], [2.0, 1.0])], "label double, idx array<int>, val array<double>"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "1.0 1:1.0 4:2.0"
     assert readers.num_features(readers.read_libfm(spark, str(tmp_path / "a.txt"))) == 5
+    one = spark.createDataFrame([([0],), (None,)], "idx array<int>")
+    assert readers.num_features(one) == 1 and readers.num_features(one.filter("idx IS NULL")) == 0
 
 
 def test_records(spark):
