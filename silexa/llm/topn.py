@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hot_keys, staged
+from ..session import staged
+from .skew import hot_keys
 
 _WAYS, _SALT, _BIG = 16, 32, 1.7976931348623157e308
 _TAKEN, _OPEN, _TIED = 1, 0, 2
