@@ -1,19 +1,12 @@
-"""Session helpers: table loading, lineage cuts and heavy-hitter detection."""
+"""Session helpers: table loading and lineage cuts."""
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from typing import TypeVar
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-T = TypeVar("T")
 _MARKED: set[str] = set()
 
 
@@ -65,16 +58,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def together(*calls: Callable[[], T]) -> list[T]:
-    """Results of independent calls, run at once, so that the jobs of one fill the cores that another's small ones leave idle."""
-    with ThreadPoolExecutor(max_workers=len(calls)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
-
-
-def hot_keys(df: DataFrame, key: str, share: int = 1000) -> list:
-    """Keys holding more than 1/`share` of all rows: never more than `share` of them, so the list may be broadcast."""
-    total = df.count()
-    least = max(1000, total // share)
-    return [r[0] for r in df.groupBy(key).count().filter(F.col("count") > least).select(key).collect() if r[0] is not None]
