@@ -1,6 +1,7 @@
 """Decision trees on binned features: level-wise histograms and splits in SQL, and forests and boosting on top."""
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_right
 from dataclasses import dataclass, field
@@ -210,9 +211,10 @@ def _bin(x: Column, points: Column) -> Column:
 def binned(features: Features, points: list[list[float]]) -> Column:
     """array<struct<f, b>>: the bins of a row's features, without those that are the bin of 0."""
     if isinstance(features, Sparse):
-        cuts = F.array(*[F.array(*map(F.lit, p)).cast("array<double>") for p in points])
+        # one text constant, which the optimizer turns into an array once: thousands of literals would swell the plan
+        cuts = F.from_json(F.lit(json.dumps(points)), "array<array<double>>")
         bins = F.zip_with(features.idx, features.val, lambda i, v: F.struct(i.cast("int").alias("f"), _bin(v, F.get(cuts, i.cast("int"))).alias("b"), v.cast("double").alias("x")))
-        zero = F.array(*[F.lit(bisect_right(p, 0.0)) for p in points])
+        zero = F.from_json(F.lit(json.dumps([bisect_right(p, 0.0) for p in points])), "array<int>")
         kept = F.filter(bins, lambda e: (e["f"] >= 0) & (e["f"] < len(points)) & e["x"].isNotNull() & ~F.isnan(e["x"]) & (e["b"] != F.get(zero, e["f"])))
         return F.coalesce(F.transform(kept, lambda e: F.struct(e["f"].alias("f"), e["b"].alias("b"))), F.array().cast("array<struct<f:int,b:int>>"))
     each = []
