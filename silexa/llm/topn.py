@@ -87,7 +87,8 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, bool]], n: int, dist
         open_ = reduce(DataFrame.unionByName, tied)
         if i + 1 == len(words):  # equal in every word: only where the caller's promise fails, or nulls and extreme values meet
             rank = F.row_number().over(Window.partitionBy("g").orderBy(*[F.col("row")[c] for c in names]))
-            taken.append(open_.withColumn("r", rank).filter(F.col("r") <= F.col("k")).select("row.*"))
+            # the constant bound lets every task keep the first n of a group before any row moves
+            taken.append(open_.withColumn("r", rank).filter((F.col("r") <= n) & (F.col("r") <= F.col("k"))).select("row.*"))
     return reduce(DataFrame.unionByName, taken) if taken else df.limit(0)
 
 
