@@ -149,7 +149,8 @@ def central_position(df: DataFrame, columns: list[str], metrics: list[str] = ("m
     if "mode" in metrics:
         ranked["mode"] = F.max_by("x", F.struct("count", -F.col("x")))
     if "median" in metrics and accuracy:
-        direct["median"] = [F.percentile_approx(_num(c), F.lit(0.5), F.lit(accuracy)) for c in columns]
+        half = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(accuracy))
+        direct["median"] = [(half(_num(c)) - half(-_num(c))) / 2 for c in columns]  # the mean of the lower and the upper one
     elif "median" in metrics:
         lo, hi = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
         ranked["median"] = (F.max(F.when(rank(lo), F.col("x"))) + F.max(F.when(rank(hi), F.col("x")))) / 2
