@@ -1,12 +1,15 @@
 """Queries of the readers, writers and reshaping operators."""
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reshape
 from ..session import stage_path, table
-from ..sources import readers, writers
+from ..sources import local, readers, writers
 from .statistics import _r
 
 
@@ -182,6 +185,51 @@ def format_libfm(spark, d):
     return back.groupBy("label").agg(F.count("*").alias("n"), F.max(F.array_max("idx")).alias("last"), *[F.round(F.sum(F.get("val", F.lit(i))), 2).alias(c) for i, c in enumerate(("l_quantity", "l_tax"))])
 
 
+def format_text(spark, d):
+    """Rows as separated lines, written, copied, renamed and read again as a table of strings."""
+    fs, path = writers.FileSystem(spark), stage_path(spark, "text")
+    writers.write_lines(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path, "|")
+    fs.copy(path, f"{path}-copy")
+    fs.rename(f"{path}-copy", f"{path}-moved")
+    fs.delete(path)
+    back = readers.read_lines(spark, f"{path}-moved").select(F.split("value", r"\|").alias("f"))
+    return back.select(F.get("f", F.lit(0)).cast("bigint").alias("s_suppkey"), F.get("f", F.lit(1)).alias("s_name"), F.get("f", F.lit(2)).cast("int").alias("s_nationkey"), F.lit(fs.exists(path)).alias("first_left"))
+
+
+def format_stages(spark, d):
+    """Two stages kept beside the tables they made, loaded and applied as one pipeline."""
+    from pyspark.ml.feature import SQLTransformer
+
+    n, path = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), stage_path(spark, "stages")
+    one, two = (SQLTransformer(statement=f"SELECT *, {e} FROM __THIS__") for e in ("n_nationkey * 2 AS twice", "twice + n_regionkey AS more"))
+    writers.save_stages(spark, [], one, f"{path}-a")
+    writers.save_stages(spark, before := writers.load_stages(spark, f"{path}-a"), two, f"{path}-b")
+    chain = writers.load_stages(spark, f"{path}-b")
+    for stage in chain:
+        n = stage.transform(n)
+    return n.withColumn("stages", F.lit(len(chain))).withColumn("before", F.lit(len(before)))
+
+
+def format_local(spark, d):
+    """Small files on the driver: separated values, maps and maps of maps."""
+    rows = [tuple(r) for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with tempfile.TemporaryDirectory() as at:  # the driver's own files, read again at once
+        local.write_separated(f"{at}/a.csv", rows)
+        local.write_map(f"{at}/m.tsv", {k: n for k, n, _ in rows})
+        local.write_map_of_maps(f"{at}/mm.tsv", {r: {k: n for k, n, x in rows if x == r} for _, _, r in rows})
+        names, deep = local.read_map(f"{at}/m.tsv"), local.invert_map_of_maps(local.read_map_of_maps(f"{at}/mm.tsv"))
+        out = [(int(k), names[k], int(r), deep[k][r]) for k, _, r in local.read_separated(f"{at}/a.csv")]
+    return spark.createDataFrame(out, "n_nationkey int, n_name string, n_regionkey int, deep string")
+
+
+def format_dense(spark, d):
+    """Sparse arrays as ML vectors: their size, entries and sums."""
+    p = table(spark, d, "labeled_points").filter("point_id IS NOT NULL AND size(fs_idx) > 0")
+    size = readers.num_features(p, "fs_idx")
+    v = readers.to_vector(p, size, "fs_idx", "fs_val").select("point_id", vector_to_array("features").alias("x"))
+    return v.select("point_id", F.size("x").alias("size"), F.size(F.filter("x", lambda e: e != 0)).alias("entries"), F.round(F.aggregate("x", F.lit(0.0), lambda a, e: a + e), 4).alias("total")).distinct()
+
+
 def format_docs(spark, d):
     """Lines of words as numbers; others are dropped."""
     t = table(spark, d, "docs").filter("rec_id IS NOT NULL AND words IS NOT NULL")
@@ -195,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         format_csv, format_tsv, format_json, format_libsvm, format_labeled_points, format_raw_docs, format_raw_points, format_rates, format_svd_points, format_edges, format_json_points, format_json_rates,
-        reshape_choose_columns, reshape_sql_script, reshape_sql_window, reshape_transpose, reshape_restore_names, reshape_row_ids, reshape_row_normalize, reshape_shift_labels, reshape_hash_split, reshape_random_split, reshape_sample, reshape_add_column, reshape_row_normalize_ids, format_libfm, format_docs,
+        reshape_choose_columns, reshape_sql_script, reshape_sql_window, reshape_transpose, reshape_restore_names, reshape_row_ids, reshape_row_normalize, reshape_shift_labels, reshape_hash_split, reshape_random_split, reshape_sample, reshape_add_column, reshape_row_normalize_ids, format_libfm, format_docs, format_text, format_stages, format_local, format_dense,
     )
 }
 SQL = {
@@ -225,5 +273,9 @@ SQL = {
     "reshape_add_column": "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 'v' || n_nationkey END AS extra FROM nation",
     "reshape_row_normalize_ids": "SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM part",
     "format_libfm": "SELECT CASE l_returnflag WHEN 'A' THEN -1.0::DOUBLE ELSE 3.0 END AS label, count(*) AS n, 7 AS last, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax FROM lineitem GROUP BY 1",
+    "format_text": "SELECT s_suppkey, s_name, s_nationkey, false AS first_left FROM supplier",
+    "format_stages": "SELECT n_nationkey, n_regionkey, n_nationkey * 2 AS twice, n_nationkey * 2 + n_regionkey AS more, 2 AS stages, 1 AS before FROM nation",
+    "format_local": "SELECT n_nationkey, n_name, n_regionkey, n_name AS deep FROM nation",
+    "format_dense": "SELECT DISTINCT point_id, CAST((SELECT max(list_max(fs_idx)) + 1 FROM labeled_points) AS INTEGER) AS size, CAST(len(list_filter(fs_val, lambda x: x <> 0)) AS INTEGER) AS entries, round(list_sum(fs_val), 4) AS total FROM labeled_points WHERE point_id IS NOT NULL AND len(fs_idx) > 0",
     "format_docs": "SELECT DISTINCT rec_id AS id, CAST(len(list_filter(words, lambda x: x IS NOT NULL)) AS INTEGER) AS n, CAST(coalesce(list_sum(words), 0) AS BIGINT) AS total FROM docs WHERE rec_id IS NOT NULL AND words IS NOT NULL",
 }
