@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import gradient, ml, text, trees
+from ..operators import gradient, ml, text, topics, trees
 from ..operators.iforest import IsolationForest, IsolationForestModel
 from ..session import stage_path, table
 from ..sources import readers
@@ -222,6 +222,21 @@ def ml_perplexity(spark, d):
     return p.crossJoin(n).select("tokens", (ok & (F.abs(F.ln("perplexity") - F.col("log_perplexity")) < 1e-9)).alias("consistent"), ((F.col("perplexity") > 1) & (F.col("perplexity") < F.col("tokens"))).alias("bounded"))
 
 
+def ml_lda_gibbs(spark, d):
+    """Whatever the topics are, a word's tokens in all of them are its tokens in the corpus."""
+    m = topics.gibbs_fit(_words(spark, d), "doc_id", "words", 5, 3)
+    return m.terms().groupBy("term").agg(F.sum("count").alias("count"))
+
+
+def ml_lda_gibbs_topics(spark, d):
+    """Documents' shares of topics sum to 1, and the model explains them better than chance."""
+    docs = _words(spark, d)
+    m = topics.gibbs_fit(docs, "doc_id", "words", 5, 10)
+    p = topics.log_likelihood(m, docs, "doc_id", "words")
+    s = m.transform(docs, "doc_id", "words", 5).agg(F.count("*").alias("docs"), (F.max(F.abs(F.aggregate("topics", F.lit(-1.0), lambda a, x: a + x))) < 1e-9).alias("whole"))
+    return p.crossJoin(s).select("tokens", "docs", "whole", (F.col("perplexity") < m.words).alias("better"))
+
+
 def ml_word2vec(spark, d):
     m = ml.word2vec_fit(_words(spark, d), "words", 16, max_iter=1)
     return ml.word_similarity(m, "the", "after")
@@ -383,7 +398,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ml_pca, ml_pca_transform, ml_chi_square, ml_isolation_forest, ml_isolation_forest_summary, ml_cart_regression, ml_cart_root_split, ml_cart_bins, ml_cart_classes, ml_cart_sparse, ml_random_forest, ml_gbdt, ml_gbrt, ml_gbt_regressor, ml_linear_regression, ml_softmax_step,
-        ml_softmax_predict, ml_fm_score, ml_fm, ml_nmf_step, ml_nmf, ml_als, ml_svd_feature, ml_lda, ml_lda_topics, ml_perplexity, ml_word2vec, vector_functions, matrix_multiply, matrix_normalize,
+        ml_softmax_predict, ml_fm_score, ml_fm, ml_nmf_step, ml_nmf, ml_als, ml_svd_feature, ml_lda, ml_lda_topics, ml_lda_gibbs, ml_lda_gibbs_topics, ml_perplexity, ml_word2vec, vector_functions, matrix_multiply, matrix_normalize,
     )
 }
 #: Chi-square statistics of the binned columns against the flag; the order of their p-values by the Wilson-Hilferty approximation.
@@ -394,6 +409,8 @@ x AS (SELECT f, sum(pow(coalesce(o, 0) - e, 2) / e) AS x, (count(DISTINCT v) - 1
 r AS (SELECT f, row_number() OVER (ORDER BY CASE WHEN k = 0 THEN -1e9 ELSE (pow(x / k, 1.0 / 3) - (1 - 2.0 / (9 * k))) / sqrt(2.0 / (9 * k)) END DESC, f) AS p FROM x), s AS (SELECT list(f ORDER BY f) AS s FROM r WHERE p <= 2)
 SELECT y AS label, [f0, f1, f2, f3][s[1] + 1] AS first, [f0, f1, f2, f3][s[2] + 1] AS second, count(*) AS n FROM t, s GROUP BY ALL"""
 
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9\\-]{2,})', 1)"
+
 SQL = _trees_sql() | {
     "ml_pca": _pca_sql(" " + " UNION ALL ".join(f"SELECT {k} AS row, round(l{k}.l / trace, 6) AS explained, round(({' + '.join(f'l{i}.l' for i in range(k + 1))}) / trace, 6) AS sum_explained FROM t, {', '.join(f'l{i}' for i in range(k + 1))}" for k in range(3))),
     "ml_pca_transform": _pca_sql(" SELECT vec_id, " + ", ".join(f"round(abs(list_dot_product(x, v{k}.v)), 4) AS col{k + 1}" for k in range(3)) + " FROM x, v0, v1, v2"),
@@ -403,6 +420,8 @@ SQL = _trees_sql() | {
     "ml_fm": _fm_sql(),
     "ml_nmf": _nmf_sql(),
     "ml_svd_feature": _svd_sql(),
+    "ml_lda_gibbs": f"SELECT term, count(*) AS count FROM (SELECT unnest({_WORDS}) AS term FROM documents) GROUP BY term",
+    "ml_lda_gibbs_topics": f"SELECT CAST(sum(len(w)) AS BIGINT) AS tokens, count(*) AS docs, true AS whole, true AS better FROM (SELECT {_WORDS} AS w FROM documents) WHERE len(w) > 0",
     "ml_perplexity": "SELECT CAST(sum(len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9\\-]{2,})', 1))) AS BIGINT) AS tokens, true AS consistent, true AS bounded FROM documents",
     "ml_linear_regression": "SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 3) AS coefficient FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 3) FROM lineitem",
     "ml_softmax_step": _softmax_sql(),
