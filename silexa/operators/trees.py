@@ -7,6 +7,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ class CART:
         points = points if points is not None else split_points(df, features, self.max_bins)
         y, w = F.col(label).cast("double"), (F.col(weight).cast("double") if weight else F.lit(1.0))
         # names of their own first: a feature may be called like one of these
-        rows = df.select(F.lit(0).alias("__tree"), y.alias("__y"), w.alias("__w"), binned(features, points).alias("__e")).toDF("tree", "y", "w", "e")
+        rows = binned(df, features, points, F.lit(0).alias("__tree"), y.alias("__y"), w.alias("__w")).toDF("tree", "y", "w", "e")
         return self.grow(staged(rows.filter(F.col("y").isNotNull() & (F.col("w") > 0)), "binned"), points, 1)[0]
 
     def grow(self, rows: DataFrame, points: list[list[float]], trees: int) -> list[Node]:
@@ -204,25 +205,25 @@ class CART:
         return Node(float(v[1] / n if n else 0.0), n, max(0.0, i / n) if n > 0 else 1.0, stats=tuple(v))
 
 
-def _bin(x: Column, points: Column) -> Column:
-    return F.size(F.filter(points, lambda t: t <= x))
-
-
-def binned(features: Features, points: list[list[float]]) -> Column:
-    """array<struct<f, b>>: the bins of a row's features, without those that are the bin of 0."""
+def binned(df: DataFrame, features: Features, points: list[list[float]], *columns: Column) -> DataFrame:
+    """The given columns, and `__e` array<struct<f, b>>: the bins of a row's features, without those that are the bin of 0."""
+    kind = "array<struct<f:int,b:int>>"
     if isinstance(features, Sparse):
         # one text constant, which the optimizer turns into an array once: thousands of literals would swell the plan
         cuts = F.from_json(F.lit(json.dumps(points)), "array<array<double>>")
-        bins = F.zip_with(features.idx, features.val, lambda i, v: F.struct(i.cast("int").alias("f"), _bin(v, F.get(cuts, i.cast("int"))).alias("b"), v.cast("double").alias("x")))
         zero = F.from_json(F.lit(json.dumps([bisect_right(p, 0.0) for p in points])), "array<int>")
+        at = lambda i, v: F.size(F.filter(F.get(cuts, i.cast("int")), lambda t: t <= v))
+        bins = F.zip_with(features.idx, features.val, lambda i, v: F.struct(i.cast("int").alias("f"), at(i, v).alias("b"), v.cast("double").alias("x")))
         kept = F.filter(bins, lambda e: (e["f"] >= 0) & (e["f"] < len(points)) & e["x"].isNotNull() & ~F.isnan(e["x"]) & (e["b"] != F.get(zero, e["f"])))
-        return F.coalesce(F.transform(kept, lambda e: F.struct(e["f"].alias("f"), e["b"].alias("b"))), F.array().cast("array<struct<f:int,b:int>>"))
-    each = []
-    for f, p in enumerate(points):
-        if p:
-            b = _bin(feature_value(features, f), F.array(*map(F.lit, p)))
-            each.append(F.when(b != bisect_right(p, 0.0), F.struct(F.lit(f).alias("f"), b.alias("b"))))
-    return F.filter(F.array(*each), lambda e: e.isNotNull()) if each else F.array().cast("array<struct<f:int,b:int>>")
+        return df.select(*columns, F.coalesce(F.transform(kept, lambda e: F.struct(e["f"].alias("f"), e["b"].alias("b"))), F.array().cast(kind)).alias("__e"))
+    used = [f for f, p in enumerate(points) if p]
+    if not used:
+        return df.select(*columns, F.array().cast(kind).alias("__e"))
+    infinity = float("inf")
+    found = Bucketizer(splitsArray=[[-infinity, *points[f], infinity] for f in used], inputCols=[f"__v{f}" for f in used], outputCols=[f"__b{f}" for f in used])
+    wide = found.transform(df.select("*", *[feature_value(features, f).alias(f"__v{f}") for f in used]))
+    each = [F.when(F.col(f"__b{f}") != bisect_right(points[f], 0.0), F.struct(F.lit(f).alias("f"), F.col(f"__b{f}").cast("int").alias("b"))) for f in used]
+    return wide.select(*columns, F.filter(F.array(*each), lambda e: e.isNotNull()).alias("__e"))
 
 
 @dataclass
@@ -265,8 +266,8 @@ def random_forest(df: DataFrame, features: Features, label: str, key: str, cart:
     grown at once."""
     cart = cart or CART()
     points = points if points is not None else split_points(df, features, cart.max_bins)
-    rows = df.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"), binned(features, points).alias("__e"), F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1))).alias("__tree"))
-    rows = rows.toDF("k", "y", "e", "tree").select("tree", "y", poisson_weight("k", F.col("tree"), row_rate, cart.seed).alias("w"), "e").filter(F.col("y").isNotNull() & (F.col("w") > 0))
+    rows = binned(df, features, points, F.col(key).alias("__k"), F.col(label).cast("double").alias("__y")).toDF("k", "y", "e")
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1)))).select("tree", "y", poisson_weight("k", F.col("tree"), row_rate, cart.seed).alias("w"), "e").filter(F.col("y").isNotNull() & (F.col("w") > 0))
     grown = CART(cart.impurity, cart.max_depth, cart.max_bins, cart.min_node_size, cart.min_info_gain, col_rate, cart.seed)
     return Ensemble(grown.grow(staged(rows, "forest"), points, num_trees), features, "vote" if cart.impurity == "gini" else "mean")
 
@@ -278,7 +279,7 @@ def gbrt(df: DataFrame, features: Features, label: str, cart: CART | None = None
     """
     cart = cart or CART()
     points = split_points(df, features, cart.max_bins)
-    rows = staged(df.select(*_columns(features), F.col(label).cast("double").alias("__t"), binned(features, points).alias("__e")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__p", F.lit(0.0))
+    rows = staged(binned(df, features, points, *map(F.col, _columns(features)), F.col(label).cast("double").alias("__t")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__p", F.lit(0.0))
     trees, errors = [], []
     for k in range(num_round):
         tree = cart.grow(rows.select(F.lit(0).alias("tree"), (F.col("__t") - F.col("__p")).alias("y"), F.lit(1.0).alias("w"), F.col("__e").alias("e")), points, 1)[0]
@@ -309,7 +310,7 @@ def gbdt(df: DataFrame, features: Features, label: str, cart: CART | None = None
     y = F.col(label).cast("double")
     classes = tuple(r[0] for r in df.select(y.alias("y")).filter("y IS NOT NULL").distinct().orderBy("y").collect())
     k = len(classes)
-    rows = staged(df.select(*_columns(features), y.alias("__t"), binned(features, points).alias("__e")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__s", F.array_repeat(F.lit(0.0), k))
+    rows = staged(binned(df, features, points, *map(F.col, _columns(features)), y.alias("__t")).filter(F.col("__t").isNotNull()), "boosted").withColumn("__s", F.array_repeat(F.lit(0.0), k))
     rounds = []
     for _ in range(num_round):
         e = F.transform("__s", lambda s: F.exp(s - F.array_max("__s")))
