@@ -1,6 +1,7 @@
 """Queries of the learners. One exact gradient step, closed forms and invariants have SQL; the rest are rows only."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,11 +111,13 @@ def ml_cart_classes(spark, d):
 
 
 def ml_cart_sparse(spark, d):
-    """A deep tree over the sparse points, whose predictions are the means of its leaves."""
+    """A deep tree over the sparse points: whether its predictions are the means of its leaves, and these large enough."""
     p = table(spark, d, "labeled_points").filter("point_id IS NOT NULL").select("label", "fs_idx", "fs_val")
     x = trees.Sparse("fs_idx", "fs_val", readers.num_features(p, "fs_idx"))
     tree = trees.CART("variance", 5, 8, 10).fit(p.filter(~F.isnan("label")), x, "label")
-    return p.select("label", trees.tree_expression(tree, x).alias("prediction"))
+    out = p.select("label", trees.tree_expression(tree, x).alias("prediction")).withColumn("label", F.nanvl("label", F.lit(None)))
+    leaves = out.groupBy("prediction").agg(F.count("*").alias("n"), F.abs(F.avg("label") - F.col("prediction")).alias("off"), F.count("label").alias("known"))
+    return leaves.agg(F.sum("n").alias("rows"), (F.max("off") < 1e-9).alias("means"), (F.min("known") >= 10).alias("large"), (F.count("*") > 3).alias("grown"))
 
 
 def ml_random_forest(spark, d):
@@ -139,8 +142,10 @@ def ml_gbrt(spark, d):
 
 
 def ml_gbt_regressor(spark, d):
+    """Rows, and whether the boosted trees explain some of the price's variance."""
     t = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return ml.gbt_predict(ml.gbt_regressor(t, ["p_size", "p_partkey"], "p_retailprice", 3, 3, "gini"), t, "price").select("p_partkey", "price")
+    p = ml.gbt_predict(ml.gbt_regressor(t, ["p_size", "p_partkey"], "p_retailprice", 10, 4, "gini"), t, "price")
+    return p.agg(F.count("price").alias("rows"), (F.avg((F.col("price") - F.col("p_retailprice")) ** 2) < F.var_pop("p_retailprice")).alias("better"))
 
 
 def ml_linear_regression(spark, d):
@@ -186,8 +191,10 @@ def ml_nmf(spark, d):
 
 
 def ml_als(spark, d):
+    """Rows, and whether the factors give no negative rating and less error than the mean."""
     r = _rates(spark, d)
-    return ml.als(r, 4, max_iter=3).transform(r).select("user", "item", F.col("prediction").cast("double").alias("prediction"))
+    p = ml.als(r, 4, max_iter=3).transform(r)
+    return p.agg(F.count("prediction").alias("rows"), (F.min("prediction") >= 0).alias("positive"), (F.avg((F.col("prediction") - F.col("rating")) ** 2) < F.var_pop("rating")).alias("better"))
 
 
 def ml_svd_feature(spark, d):
@@ -210,7 +217,11 @@ def ml_lda(spark, d):
 
 
 def ml_lda_topics(spark, d):
-    return ml.lda_topics(ml.lda_fit(_words(spark, d), "words", 5, 3), 5).select("topic", F.array_join("terms", " ").alias("terms"))
+    """Topics, and whether each names five different words of the corpus, by falling weight."""
+    docs = _words(spark, d)
+    t = ml.lda_topics(ml.lda_fit(docs, "words", 5, 3), 5)
+    known = t.select("topic", F.explode("terms").alias("term")).join(docs.select(F.explode("words").alias("term")).distinct(), "term").groupBy("topic").agg(F.count_distinct("term").alias("known"))
+    return t.join(known, "topic").select("topic", (F.col("known") == 5).alias("words"), (F.col("weights") == F.reverse(F.array_sort("weights"))).alias("falling"))
 
 
 def ml_perplexity(spark, d):
@@ -238,8 +249,10 @@ def ml_lda_gibbs_topics(spark, d):
 
 
 def ml_word2vec(spark, d):
+    """The words that get a vector: those of at least five occurrences."""
     m = ml.word2vec_fit(_words(spark, d), "words", 16, max_iter=1)
-    return ml.word_similarity(m, "the", "after")
+    v = m.getVectors().select("word", vector_to_array("vector").alias("v"))
+    return v.select("word", F.size("v").alias("size"), (vec.norm("v") > 0).alias("trained"))
 
 
 def vector_functions(spark, d):
@@ -420,6 +433,11 @@ SQL = _trees_sql() | {
     "ml_fm": _fm_sql(),
     "ml_nmf": _nmf_sql(),
     "ml_svd_feature": _svd_sql(),
+    "ml_cart_sparse": "SELECT CAST(count(*) AS BIGINT) AS rows, true AS means, true AS large, true AS grown FROM labeled_points WHERE point_id IS NOT NULL",
+    "ml_gbt_regressor": "SELECT count(*) AS rows, true AS better FROM part",
+    "ml_als": _R + " SELECT count(*) AS rows, true AS positive, true AS better FROM r",
+    "ml_lda_topics": "SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS topic, true AS words, true AS falling",
+    "ml_word2vec": f"SELECT word, 16 AS size, true AS trained FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word HAVING count(*) >= 5",
     "ml_lda_gibbs": f"SELECT term, count(*) AS count FROM (SELECT unnest({_WORDS}) AS term FROM documents) GROUP BY term",
     "ml_lda_gibbs_topics": f"SELECT CAST(sum(len(w)) AS BIGINT) AS tokens, count(*) AS docs, true AS whole, true AS better FROM (SELECT {_WORDS} AS w FROM documents) WHERE len(w) > 0",
     "ml_perplexity": "SELECT CAST(sum(len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9\\-]{2,})', 1))) AS BIGINT) AS tokens, true AS consistent, true AS bounded FROM documents",
