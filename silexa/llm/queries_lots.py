@@ -39,7 +39,7 @@ def p4_lot_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return q.select("lot_id", "measure", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(["p10", "p25", "p50", "p75", "p90"])])
 
 
-def p4_combined_days(spark: SparkSession, d: str) -> DataFrame:
+def combined_days(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of separate days, combined into the percentiles of every measure."""
     daily = quantiles.sketch(_measures(spark, d), ["day", "measure"], "value")
     q = quantiles.percentiles(quantiles.merge(daily, ["measure"]), ["measure"], [0.1, 0.5, 0.9])
@@ -49,7 +49,7 @@ def p4_combined_days(spark: SparkSession, d: str) -> DataFrame:
 def p4_combined_bound(spark: SparkSession, d: str) -> DataFrame:
     """Whether the percentiles combined from days lie within half a hundredth of all values of their rank."""
     values = _measures(spark, d)
-    q = p4_combined_days(spark, d)
+    q = combined_days(spark, d)
     names = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
     x = values.select("measure", "value").join(F.broadcast(q), "measure").groupBy("measure").agg(F.count("*").alias("n"), *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for c in names], *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for c in names])
     ok = [((F.col(f"{c}_below") <= (p + 0.005) * F.col("n")) & (F.col(f"{c}_upto") >= (p - 0.005) * F.col("n"))).alias(c) for c, p in names.items()]  # three rows
@@ -63,7 +63,7 @@ m AS (SELECT lot_id, 'alcohol' AS measure, alcohol AS v FROM t WHERE alcohol > 0
   UNION ALL SELECT lot_id, 'quality', quality FROM t WHERE quality > 0 AND quality <= 10)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_lot_percentiles": p4_lot_percentiles, "p4_combined_days": p4_combined_days, "p4_combined_bound": p4_combined_bound}
+QUERIES = {"p4_found": p4_found, "p4_lot_percentiles": p4_lot_percentiles, "p4_combined_bound": p4_combined_bound}
 SQL = {
     "p4_found": _M + """
 SELECT lot_id, measure FROM m GROUP BY lot_id, measure

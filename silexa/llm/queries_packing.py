@@ -30,13 +30,6 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_lengths(docs, "doc_id", "text", vocabulary_file()), "doc_id", "n_tokens", CAPACITY)
 
 
-def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens, the least number of containers that could hold them, and the share of room in use."""
-    p = p8_containers(spark, d)
-    r = p.groupBy("container").agg(F.sum("length").alias("t")).agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))
-    return r.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 4).alias("fill"))
-
-
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of any packing: posts assigned, posts that miss or repeat a token, posts split without need, containers too full,
     and whether the containers are within 2 % (and one) of the least number that could hold the tokens."""
@@ -50,5 +43,5 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
     return each.crossJoin(full).select("posts", "broken", "split", "overfull", (F.col("n") <= F.ceil(F.col("tokens") / CAPACITY) * 1.02 + 1).alias("tight"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_checks": p8_checks}
+QUERIES = {"p8_containers": p8_containers, "p8_checks": p8_checks}
 SQL = {"p8_checks": "SELECT count(*) AS posts, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS overfull, true AS tight FROM documents"}
