@@ -1,7 +1,6 @@
 """Decision trees on binned features: level-wise histograms and splits in SQL, and forests and boosting on top."""
 from __future__ import annotations
 
-import json
 import math
 from bisect import bisect_right
 from dataclasses import dataclass, field
@@ -209,9 +208,9 @@ def binned(df: DataFrame, features: Features, points: list[list[float]], *column
     """The given columns, and `__e` array<struct<f, b>>: the bins of a row's features, without those that are the bin of 0."""
     kind = "array<struct<f:int,b:int>>"
     if isinstance(features, Sparse):
-        # one text constant, which the optimizer turns into an array once: thousands of literals would swell the plan
-        cuts = F.from_json(F.lit(json.dumps(points)), "array<array<double>>")
-        zero = F.from_json(F.lit(json.dumps([bisect_right(p, 0.0) for p in points])), "array<int>")
+        # the thresholds come as one row: thousands of literals would swell the plan
+        row = df.sparkSession.createDataFrame([([[float(t) for t in p] for p in points], [bisect_right(p, 0.0) for p in points])], "__cuts array<array<double>>, __zero array<int>")
+        df, cuts, zero = df.crossJoin(F.broadcast(row)), F.col("__cuts"), F.col("__zero")
         at = lambda i, v: F.size(F.filter(F.get(cuts, i.cast("int")), lambda t: t <= v))
         bins = F.zip_with(features.idx, features.val, lambda i, v: F.struct(i.cast("int").alias("f"), at(i, v).alias("b"), v.cast("double").alias("x")))
         kept = F.filter(bins, lambda e: (e["f"] >= 0) & (e["f"] < len(points)) & e["x"].isNotNull() & ~F.isnan(e["x"]) & (e["b"] != F.get(zero, e["f"])))
