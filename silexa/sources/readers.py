@@ -185,7 +185,7 @@ def to_vector(df: DataFrame, size: int, idx: str = "idx", val: str = "val", out:
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     @F.udf(VectorUDT())  # no built-in expression makes a sparse vector
-    def sparse(i: list, v: list):
+    def sparse(i, v):
         return Vectors.sparse(size, {int(k): float(x) for k, x in zip(i or [], v or []) if k is not None and x and 0 <= k < size})
 
     return df.withColumn(out, sparse(idx, val))
