@@ -1,8 +1,11 @@
+import math
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silexa.operators import topics
+from silexa.operators import ml, topics
 
 
 @pytest.mark.parametrize("cells", [1 << 26, 0])
@@ -30,3 +33,31 @@ def test_no_documents(spark):
     d = spark.createDataFrame([], "id bigint, words array<string>")
     m = topics.gibbs_fit(d, "id", "words", 3, 1)
     assert m.totals == [0, 0, 0] and m.terms().count() == 0 and m.transform(d, "id", "words").count() == 0
+
+
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_perplexity_is_that_of_the_learner(spark, optimizer):
+    """Up to the random start of each document's topics; also beside empty documents and unknown words."""
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([*[([f"{'ab'[i % 2]}{rng.integers(0, 30)}" for _ in range(1 + i)],) for i in range(80)], ([],)], "words array<string>").repartition(3)
+    m = ml.lda_fit(d, "words", 3, 5, optimizer=optimizer)
+    d = d.union(spark.createDataFrame([(["new", "a1", "a1"],), (["new"],)], d.schema))
+    counted = m.stages[0].transform(d)
+    got = ml.perplexity(m, d).first()
+    assert got["log_likelihood"] == pytest.approx(m.stages[1].logLikelihood(counted), rel=1e-4)
+    assert got["log_perplexity"] == pytest.approx(m.stages[1].logPerplexity(counted), rel=1e-4) and got["perplexity"] == pytest.approx(math.exp(got["log_perplexity"]))
+    assert ml.perplexity(m, d.repartition(7)).first()["log_likelihood"] == pytest.approx(got["log_likelihood"], rel=1e-12)  # starts don't depend on partitions
+    none = ml.perplexity(m, d.filter("size(words) = 0")).first()
+    assert none["log_likelihood"] == pytest.approx(m.stages[1].logLikelihood(counted.limit(0))) and math.isinf(none["perplexity"])
+
+
+def test_perplexity_of_many_documents_and_words(spark):
+    """Its time may not grow with documents x words: it takes about as long as the topics of the documents do."""
+    d = spark.range(0, 10_000, 1, 4).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), F.col("id") * 10 + i)).alias("words"))
+    m = ml.lda_fit(d, "words", 4, 1)
+    times = []
+    for run in (lambda: ml.lda_predict(m, d).agg(F.sum(F.get("topics", F.lit(0)))).first(), lambda: ml.perplexity(m, d).first()):
+        began = time.perf_counter()
+        run()
+        times.append(time.perf_counter() - began)
+    assert len(m.stages[0].vocabulary) == 100_000 and times[1] < 10 * times[0]
